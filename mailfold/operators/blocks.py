@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailfold.functions.identity import core_name, name_words
-from mailfold.session import settle
+from mailfold.session import settle_measured
 
 MAX_ROUNDS = 60
 
@@ -62,16 +62,12 @@ def connected_components(edges: DataFrame, label: str = "blocks") -> DataFrame:
         edges.select("owner", F.col("v").alias("node"))
     )
 
-    def signature(pairs: DataFrame) -> tuple:
-        hashed = F.xxhash64("owner", "u", "v").cast("decimal(38,0)")
-        return tuple(pairs.agg(F.count("*"), F.sum(hashed)).first())
-
+    rows = F.count(F.lit(1))
+    content = F.sum(F.xxhash64("owner", "u", "v").cast("decimal(38,0)"))
     directed = edges.select("owner", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    current = settle(directed.filter("u <> v").distinct(), label)
-    seen = signature(current)
+    current, seen = settle_measured(directed.filter("u <> v").distinct(), label, n=rows, h=content)
     for _ in range(MAX_ROUNDS):
-        current = settle(step(current), label)
-        now = signature(current)
+        current, now = settle_measured(step(current), label, n=rows, h=content)
         if now == seen:
             break
         seen = now

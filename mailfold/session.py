@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,6 +47,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def settle_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, tuple]:
+    """:func:`settle` that also returns aggregates, computed while the rows are written."""
+    seen = Observation()
+    written = settle(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), label)
+    return written, tuple(seen.get[k] for k in measures)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
