@@ -247,14 +247,14 @@ def prose_ctes(source: str) -> str:
     both = " OR ".join(has(fields[f], p) for f, p, _, _ in fixed.EMPLOYER_AND_TITLE)
     only = "coalesce(" + ", ".join(clean_company(ext("text", p)) for p in fixed.EMPLOYER_ONLY) + ")"
     return f"""
-p1 AS (SELECT *, subject || chr(10) || body AS text FROM {source}),
-p2 AS (SELECT *, {both} AS both_found, {raw_company} AS raw_company, {raw_role} AS raw_role FROM p1),
-p3 AS (SELECT *, CASE WHEN {has('text', fixed.NOT_APPLICATION)} OR {has('body', fixed.DRAFT_REMINDER)} THEN NULL
+p1 AS MATERIALIZED (SELECT *, subject || chr(10) || body AS text FROM {source}),
+p2 AS MATERIALIZED (SELECT *, {both} AS both_found, {raw_company} AS raw_company, {raw_role} AS raw_role FROM p1),
+p3 AS MATERIALIZED (SELECT *, CASE WHEN {has('text', fixed.NOT_APPLICATION)} OR {has('body', fixed.DRAFT_REMINDER)} THEN NULL
          WHEN both_found THEN {clean_company('raw_company')} ELSE {only} END AS c0 FROM p2),
-p4 AS (SELECT *, {recover('body', 'subject')} AS recovered, {clean_role('raw_role')} AS titled,
+p4 AS MATERIALIZED (SELECT *, {recover('body', 'subject')} AS recovered, {clean_role('raw_role')} AS titled,
          CASE WHEN c0 IS NOT NULL AND NOT regexp_matches(body, '(?i)\\b' || regexp_escape(c0) || {q(fixed.TITLE_NOUNS)})
               THEN c0 END AS c1 FROM p3),
-prose AS (SELECT message_id, recovered AS p_recovered,
+prose AS MATERIALIZED (SELECT message_id, recovered AS p_recovered,
             CASE WHEN c1 IS NOT NULL AND ({key('coalesce(titled, recovered)')} <> {key('c1')}) THEN c1 END AS p_company,
             CASE WHEN c1 IS NOT NULL AND ({key('coalesce(titled, recovered)')} <> {key('c1')})
                  THEN coalesce(titled, recovered) END AS p_role FROM p4)"""
@@ -287,20 +287,20 @@ def hit_ctes() -> str:
     board_a = f"(addr LIKE '%{fixed.BOARD_A_SENDER}')"
     return f"""
 {prose_ctes('messages')},
-h1 AS (SELECT m.*, p_company, p_role, p_recovered, {noise('subject', 'sender', 'body')} AS noise_reason,
+h1 AS MATERIALIZED (SELECT m.*, p_company, p_role, p_recovered, {noise('subject', 'sender', 'body')} AS noise_reason,
          {address('sender')} AS addr, {lines} AS lines, {status('body')} AS read_status
        FROM messages m JOIN prose USING (message_id)),
-h2 AS (SELECT *, {at} AS heading, lower(subject) LIKE 'your application to %' AND
+h2 AS MATERIALIZED (SELECT *, {at} AS heading, lower(subject) LIKE 'your application to %' AND
          {has('body', fixed.BOARD_A_REJECT_BODY)} AND substr(subject, 21) LIKE '% at %' AS rejects FROM h1),
-h3 AS (SELECT *, {board_a} AND {has('subject', fixed.BOARD_A_SUBJECT)} AND heading > 0 AND len(lines) >= heading + 2
+h3 AS MATERIALIZED (SELECT *, {board_a} AND {has('subject', fixed.BOARD_A_SUBJECT)} AND heading > 0 AND len(lines) >= heading + 2
          AND NOT {has('lines[heading + 1]', fixed.BOARD_A_MARKER)} AND NOT {has('lines[heading + 2]', fixed.BOARD_A_MARKER)}
          AS a_card, {board_a} AND rejects AS a_reject,
          addr LIKE '%{fixed.BOARD_B_SENDER}%' AND {has('subject', fixed.BOARD_B_SUBJECT)}
          AND {strip(ext('body', fixed.BOARD_B_EMPLOYER))} IS NOT NULL AS b_card FROM h2),
-h4 AS (SELECT *, CASE WHEN noise_reason IS NOT NULL THEN 'none' WHEN a_card THEN 'linkedin_applied'
+h4 AS MATERIALIZED (SELECT *, CASE WHEN noise_reason IS NOT NULL THEN 'none' WHEN a_card THEN 'linkedin_applied'
          WHEN a_reject THEN 'linkedin_rejected' WHEN b_card THEN 'indeed_applied'
          WHEN p_company IS NOT NULL AND read_status IS NOT NULL THEN 'general_template' ELSE 'none' END AS rule FROM h3),
-hits AS (SELECT *, nullif(rule, 'none') AS code,
+hits AS MATERIALIZED (SELECT *, nullif(rule, 'none') AS code,
          CASE rule WHEN 'linkedin_applied' THEN 'applied' WHEN 'linkedin_rejected' THEN 'rejected'
               WHEN 'indeed_applied' THEN 'applied' WHEN 'general_template' THEN read_status END AS h_category,
          CASE rule WHEN 'linkedin_applied' THEN lines[heading + 2]
@@ -319,11 +319,11 @@ def model_ctes() -> str:
 
     req = "CASE WHEN json_type(j, '$.req_id') IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN json_extract_string(j, '$.req_id') END"
     return f"""
-o1 AS (SELECT message_id, nullif(regexp_extract(raw_text, '\\{{[\\s\\S]*\\}}', 0), '') AS j FROM outputs),
-o2 AS (SELECT message_id, CASE WHEN json_valid(j) THEN j END AS j FROM o1),
-o3 AS (SELECT message_id, {text_field('category')} AS category, {text_field('company')} AS company,
+o1 AS MATERIALIZED (SELECT message_id, nullif(regexp_extract(raw_text, '\\{{[\\s\\S]*\\}}', 0), '') AS j FROM outputs),
+o2 AS MATERIALIZED (SELECT message_id, CASE WHEN json_valid(j) THEN j END AS j FROM o1),
+o3 AS MATERIALIZED (SELECT message_id, {text_field('category')} AS category, {text_field('company')} AS company,
          {text_field('role')} AS role, {canonical_requisition(req)} AS req_id FROM o2),
-parsed AS (SELECT message_id, CASE WHEN ok THEN category END AS category, CASE WHEN ok THEN company END AS company,
+parsed AS MATERIALIZED (SELECT message_id, CASE WHEN ok THEN category END AS category, CASE WHEN ok THEN company END AS company,
              CASE WHEN ok THEN role END AS role, CASE WHEN ok THEN req_id END AS req_id
            FROM (SELECT *, coalesce(category IN ({items(fixed.CATEGORIES)}), false) AS ok FROM o3) o4)"""
 
@@ -333,9 +333,9 @@ def event_ctes() -> str:
     asked = "nullif(h_role, '') IS NULL"
     return f"""
 {hit_ctes()}, {model_ctes()},
-c1 AS (SELECT h.*, p.category AS m_category, nullif(p.company, '') AS m_company, nullif(p.role, '') AS m_role,
+c1 AS MATERIALIZED (SELECT h.*, p.category AS m_category, nullif(p.company, '') AS m_company, nullif(p.role, '') AS m_role,
          p.req_id AS m_req FROM hits h LEFT JOIN parsed p USING (message_id)),
-c2 AS (SELECT *,
+c2 AS MATERIALIZED (SELECT *,
    CASE WHEN code IS NOT NULL THEN h_category WHEN noise_reason IS NULL THEN m_category END AS a_category,
    CASE WHEN code IS NOT NULL THEN h_company
         WHEN noise_reason IS NULL AND m_category IS NOT NULL THEN coalesce(m_company, CASE WHEN m_category <> 'ignored' THEN p_company END)
@@ -345,11 +345,11 @@ c2 AS (SELECT *,
         THEN coalesce(m_role, CASE WHEN m_category <> 'ignored' THEN CASE WHEN p_company IS NULL THEN p_recovered ELSE p_role END END)
    END AS a_role,
    CASE WHEN code IS NOT NULL THEN CASE WHEN {asked} THEN m_req END WHEN noise_reason IS NULL THEN m_req END AS a_req FROM c1),
-c3 AS (SELECT *, {company('a_company')} AS n_company, nullif({tidy('a_role')}, '') AS n_role FROM c2),
-c4 AS (SELECT *, CASE WHEN n_company <> '' AND NOT ({has('n_company', fixed.ASSESSMENT_NAME)} AND
+c3 AS MATERIALIZED (SELECT *, {company('a_company')} AS n_company, nullif({tidy('a_role')}, '') AS n_role FROM c2),
+c4 AS MATERIALIZED (SELECT *, CASE WHEN n_company <> '' AND NOT ({has('n_company', fixed.ASSESSMENT_NAME)} AND
          {has('sender', fixed.ASSESSMENT_HOST)}) THEN n_company END AS f_company FROM c3),
-c5 AS (SELECT *, coalesce(a_category, 'ignored') <> 'ignored' AND f_company IS NOT NULL AS merge FROM c4),
-classified AS (SELECT owner, account, message_id, thread_id, subject, internal_ms, msg_date,
+c5 AS MATERIALIZED (SELECT *, coalesce(a_category, 'ignored') <> 'ignored' AND f_company IS NOT NULL AS merge FROM c4),
+classified AS MATERIALIZED (SELECT owner, account, message_id, thread_id, subject, internal_ms, msg_date,
    CASE WHEN merge THEN 'merge' ELSE 'skip' END AS kind,
    CASE WHEN merge THEN a_category ELSE 'ignored' END AS category,
    CASE WHEN merge THEN f_company END AS company, CASE WHEN merge THEN n_role END AS role,
