@@ -713,7 +713,7 @@ oracle("dates_coerced", f"""WITH {DATES}, t AS (SELECT *, trim(cell) AS s FROM d
   regexp_extract(s, '^(\\d{{1,2}})[/.-](\\d{{1,2}})[/.-](\\d{{4}})$', 3) AS y FROM t),
 v AS (SELECT *, CASE WHEN a > 12 THEN b ELSE a END AS mo, CASE WHEN a > 12 THEN a ELSE b END AS da FROM u)
 SELECT o_orderkey, cell, CASE WHEN regexp_matches(s, '^\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN substr(s, 1, 10)
-  WHEN regexp_matches(s, '^\\d{{4}}[/.]\\d{{1,2}}[/.]\\d{{1,2}}$') THEN array_to_string(list_transform(string_split_regex(s, '[/.]'), lambda x: lpad(x, greatest(2, length(x)), '0')), '-')
+  WHEN regexp_matches(s, '^\\d{{4}}[/.]\\d{{1,2}}[/.]\\d{{1,2}}$') THEN array_to_string(list_transform(string_split_regex(s, '[/.]'), lambda x: lpad(x, CAST(greatest(2, length(x)) AS INTEGER), '0')), '-')
   WHEN mo BETWEEN 1 AND 12 AND da BETWEEN 1 AND 31 THEN y || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') || '-' || lpad(CAST(da AS VARCHAR), 2, '0')
   ELSE coalesce(strftime(try_strptime(s, '%B %d, %Y'), '%Y-%m-%d'), strftime(try_strptime(s, '%d %b %Y'), '%Y-%m-%d')) END AS iso FROM v""")
 oracle("durations_formatted", f"""WITH s AS (SELECT o_orderkey, (({shapes.DURATION_MS}) + 500) // 1000 AS t FROM orders)

@@ -13,7 +13,7 @@ from mailfold import fixed
 from mailfold.functions import identity, refs as ref_functions, requisition, roles, templates, text
 from mailfold.operators import assign, blocks, classify, edits, match, reports, rollup, select
 from mailfold.plans.history import build_history
-from mailfold.session import scratch_path
+from mailfold.session import scratch_path, settle
 from mailfold.sources import messages as message_source
 from mailfold.sources import sheets
 from mailfold.sources.bridge import derive, spread
@@ -538,7 +538,7 @@ def refs_collected(spark, sf_dir):
 
 @query
 def sync_counters(spark, sf_dir):
-    events = classified(spark, sf_dir)
+    events = settle(classified(spark, sf_dir), "classified")
     merges = events.filter("kind = 'merge'")
     first = merges.groupBy("owner", "thread_id").agg(F.min(F.struct("internal_ms", "message_id")).alias("f"))
     assigned = merges.join(first, ["owner", "thread_id"]).select(

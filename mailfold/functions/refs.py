@@ -116,8 +116,8 @@ def provenance(source: Column, detected_by: Column, edited: Column) -> Column:
 
 FREE_DATES = (
     "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy",
-    "EEE MMM d yyyy", "EEE, d MMM yyyy", "EEEE, MMMM d, yyyy",
 )
+WEEKDAY = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? +"
 
 
 def iso_date(cell: Column) -> Column:
@@ -137,7 +137,8 @@ def iso_date(cell: Column) -> Column:
         month.between(1, 12) & day.between(1, 31),
         F.concat_ws("-", grab(text, year_last, 3), two(month.cast("string")), two(day.cast("string"))),
     )
-    written = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in FREE_DATES])
+    bare = F.regexp_replace(text, WEEKDAY, "")
+    written = F.coalesce(*[F.try_to_timestamp(bare, F.lit(fmt)) for fmt in FREE_DATES])
     return (
         F.when(iso.isNotNull(), iso)
         .when(grab(text, year_first, 0).isNotNull(), from_year)

@@ -24,6 +24,7 @@ from mailfold.functions.templates import (
 )
 from mailfold.functions.text import blank_to_null, let, matches
 from mailfold.operators.select import mark_noise
+from mailfold.session import settle
 
 
 def extract_templates(
@@ -81,8 +82,13 @@ def _wants_model() -> Column:
 
 
 def needs_model(extracted: DataFrame) -> DataFrame:
-    """The messages to send to batch inference."""
-    return extracted.filter(_wants_model())
+    """The messages to send to batch inference.
+
+    Extraction is written first: a filter on ``hit`` would otherwise be pushed through the
+    staged columns and repeat their expressions many times over.
+    """
+    marked = settle(extracted.withColumn("wanted", _wants_model()), "extracted")
+    return marked.filter("wanted").drop("wanted")
 
 
 def run_model(messages: DataFrame, model: Callable[[Iterable[tuple[str, str, str]]], Iterable[str]]) -> DataFrame:
