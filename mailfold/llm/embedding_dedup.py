@@ -165,8 +165,8 @@ def oracle_sql(least: float = LEAST_COSINE) -> str:
 WITH RECURSIVE ok AS (
     SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings
     WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0),
+      AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0),
 links AS (
     SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b
       ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
