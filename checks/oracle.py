@@ -462,10 +462,10 @@ oracle("message_bodies_built", f"""WITH {DUMP},
 chosen AS (SELECT message_id, sender, {select_body('plain', 'html')} AS picked, {strip_html('html')} AS from_html FROM dump),
 forms AS (SELECT message_id, sender, {clean_card('picked')} AS card, {clean_body('picked')} AS plain,
             {clean_body("coalesce(nullif(from_html, ''), picked)")} AS rich FROM chosen)
-SELECT message_id, CASE WHEN contains(sender, '{fixed.BOARD_A_SENDER}') THEN substr(card, 1, 800)
+SELECT message_id, CASE WHEN contains(sender, '{fixed.BOARD_A_SENDER}') THEN card
   WHEN contains(sender, '{fixed.BOARD_B_SENDER}') THEN CASE WHEN {ext('rich', fixed.BOARD_B_SENT_TO)} IS NOT NULL
-    THEN 'Employer: ' || {strip(ext('rich', fixed.BOARD_B_SENT_TO))} || chr(10) || chr(10) || substr(rich, 1, 1000) ELSE substr(rich, 1, 3000) END
-  ELSE substr(plain, 1, 800) END AS body FROM forms""")
+    THEN 'Employer: ' || {strip(ext('rich', fixed.BOARD_B_SENT_TO))} || chr(10) || chr(10) || rich ELSE rich END
+  ELSE plain END AS body FROM forms""")
 
 
 def phrases(values) -> str:
@@ -479,14 +479,14 @@ def _escape(phrase: str) -> str:
 
 oracle("candidates_selected", f"""WITH {MESSAGES}, m AS (SELECT *, subject || chr(10) || body AS anywhere FROM messages)
 SELECT owner, message_id, {day('msg_date')} AS msg_date FROM m
-WHERE msg_date BETWEEN DATE '1999-06-30' - 180 AND DATE '1999-06-30' AND internal_ms % 23 <> 0
+WHERE msg_date >= DATE '1999-06-30' - 180 AND internal_ms % 23 <> 0
   AND {has('anywhere', phrases(fixed.WANTED_PHRASES))} AND NOT {has('subject', phrases(fixed.EXCLUDED_SUBJECTS))}
   AND NOT {has('anywhere', phrases(fixed.EXCLUDED_ANYWHERE))}
   AND NOT contains(lower(sender), lower(account))
   AND {' AND '.join(f"NOT contains(lower(sender), '{a}')" for a in fixed.EXCLUDED_SENDERS)}""")
 oracle("scan_window_counts", f"""WITH {MESSAGES} SELECT CAST(requested AS BIGINT) AS requested, CAST(days AS BIGINT) AS days,
   count(msg_date) AS n FROM (VALUES (30, 30), (60, 60), (90, 90), (180, 180), (45, 30)) w(requested, days)
-LEFT JOIN messages ON msg_date BETWEEN DATE '1999-06-30' - CAST(days AS INTEGER) AND DATE '1999-06-30' GROUP BY requested, days""")
+LEFT JOIN messages ON msg_date >= DATE '1999-06-30' - CAST(days AS INTEGER) GROUP BY requested, days""")
 oracle("messages_unprocessed", f"""WITH {MESSAGES} SELECT owner, message_id, thread_id FROM messages m WHERE NOT EXISTS
   (SELECT 1 FROM messages l WHERE l.msg_date < DATE '1998-01-01' AND l.message_id = m.message_id AND l.owner = m.owner)""")
 oracle("ledger_appended", f"""WITH {MESSAGES} SELECT owner, message_id, thread_id,
@@ -581,7 +581,7 @@ oracle("stats_by_owner", f"WITH {DECORATED} SELECT owner, {STATS} FROM shown GRO
 oracle("stats_of_search", f"WITH {DECORATED} SELECT {STATS} FROM shown WHERE contains(lower(company), '(backend)') OR contains(lower(role), '(backend)')")
 oracle("status_counts", f"""WITH {DECORATED} SELECT CAST(position AS BIGINT) AS position, c.status, label, count(app_id) AS n
 FROM (VALUES (0, 'applied', 'Applied'), (1, 'interview', 'Interview'), (2, 'offer', 'Offer'), (3, 'rejected', 'Rejected')) c(position, status, label)
-LEFT JOIN (SELECT * FROM shown WHERE status <> 'offer') s ON s.status = c.status GROUP BY ALL""")
+LEFT JOIN shown s ON s.status = c.status GROUP BY ALL""")
 oracle("board_columns", f"""WITH {DECORATED}, k AS (SELECT owner, status, app_id,
   row_number() OVER (PARTITION BY owner, status ORDER BY last_activity DESC NULLS LAST, updated_at DESC, app_id) AS rank,
   count(*) OVER (PARTITION BY owner, status) AS n_status FROM shown)

@@ -16,7 +16,7 @@ from mailfold.plans.history import build_history
 from mailfold.session import scratch_path, settle
 from mailfold.sources import messages as message_source
 from mailfold.sources import sheets
-from mailfold.sources.bridge import derive, spread
+from mailfold.sources.bridge import derive
 from mailfold.sources.snapshots import Board
 from mailfold.streaming.sync import incremental_sync
 
@@ -33,8 +33,7 @@ def query(fn: Query) -> Query:
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A benchmark table; hash-repartitioned only when its files are fewer than the cores."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def day(column: str):
@@ -573,7 +572,7 @@ def stats_of_search(spark, sf_dir):
 
 @query
 def status_counts(spark, sf_dir):
-    return reports.count_by_status(decorated(spark, sf_dir).filter(F.col("status") != "offer"))
+    return reports.count_by_status(decorated(spark, sf_dir))
 
 
 @query
@@ -832,9 +831,9 @@ def message_ids_extracted(spark, sf_dir):
 def synced_board(spark: SparkSession, sf_dir: str) -> Board:
     """Dumps cut into three arrivals by receipt time and streamed into an empty board."""
     root = scratch_path(spark, "synced")
-    raw = raw_messages(spark, sf_dir).filter(F.col("internal_date").isNotNull())
+    raw = raw_messages(spark, sf_dir)
     year = F.year(F.timestamp_millis(F.col("internal_date").cast("bigint")))
-    arrival = F.when(year < 1997, 0).when(year < 1999, 1).otherwise(2)
+    arrival = F.when(year < 1997, 0).when(year < 1999, 1).otherwise(2)  # mail without a receipt time comes last
     raw.withColumn("arrival", arrival).repartition("arrival").write.partitionBy("arrival").json(f"{root}/in")
     board = Board(spark, f"{root}/board")
     outputs = derive(spark, sf_dir, "outputs")

@@ -33,9 +33,6 @@ PAIR_WINDOW_DAYS = 4
 SCAN_WINDOWS = (30, 60, 90, 180)
 PAGE_SIZE = 25
 BOARD_PREVIEW = 3
-BODY_LIMIT = 800
-BOARD_B_LIMIT = 1000
-BOARD_B_PLAIN_LIMIT = 3000
 
 NOTE_PREFIX = "Auto-detected from Gmail: "
 NOTE_WARNING = "\n⚠️ Role could not be extracted — please update manually."

@@ -181,23 +181,18 @@ def clean_card_body(col: Column) -> Column:
 
 
 def build_body(parts: Column, sender: Column) -> Column:
-    """The body text the classifiers read, by sending platform."""
+    """The whole cleaned text the classifiers read, by sending platform."""
 
     def board_b(rich: Column) -> Column:
         employer = strip(grab(rich, fixed.BOARD_B_SENT_TO))
         return F.when(
             employer.isNotNull(),
-            F.concat(
-                F.lit("Employer: "), employer, F.lit("\n\n"), F.substring(rich, 1, fixed.BOARD_B_LIMIT)
-            ),
-        ).otherwise(F.substring(rich, 1, fixed.BOARD_B_PLAIN_LIMIT))
+            F.concat(F.lit("Employer: "), employer, F.lit("\n\n"), rich),
+        ).otherwise(rich)
 
     rich = clean_body(F.coalesce(blank_to_null(html_body(parts)), select_body(parts)))
     return (
-        F.when(
-            sender.contains(fixed.BOARD_A_SENDER),
-            F.substring(clean_card_body(select_body(parts)), 1, fixed.BODY_LIMIT),
-        )
+        F.when(sender.contains(fixed.BOARD_A_SENDER), clean_card_body(select_body(parts)))
         .when(sender.contains(fixed.BOARD_B_SENDER), let(rich, board_b))
-        .otherwise(F.substring(clean_body(select_body(parts)), 1, fixed.BODY_LIMIT))
+        .otherwise(clean_body(select_body(parts)))
     )

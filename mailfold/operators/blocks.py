@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from mailfold.functions.identity import core_name, name_words
 from mailfold.session import settle_measured
 
-MAX_ROUNDS = 60
-
 
 def node_keys() -> dict[str, Column]:
     core = core_name(name_words(F.col("company")))
@@ -66,13 +64,11 @@ def connected_components(edges: DataFrame, label: str = "blocks") -> DataFrame:
     content = F.sum(F.xxhash64("owner", "u", "v").cast("decimal(38,0)"))
     directed = edges.select("owner", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     current, seen = settle_measured(directed.filter("u <> v").distinct(), label, n=rows, h=content)
-    for _ in range(MAX_ROUNDS):
+    while True:
         current, now = settle_measured(step(current), label, n=rows, h=content)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
     stars = current.select("owner", F.col("u").alias("node"), F.col("v").alias("component"))
     return (
         nodes.distinct()
@@ -125,8 +121,8 @@ def block_sizes(blocked: DataFrame) -> DataFrame:
     )
 
 
-def fold_units(blocked: DataFrame, limit: int) -> DataFrame:
-    """Adds ``unit``, the key of independent folds: the block, or part of an oversize block.
+def fold_units(blocked: DataFrame) -> DataFrame:
+    """Adds ``unit``, the key of independent folds: the block, or part of a block of titled rows.
 
     If no row of a block lacks a title, a message can only reach records whose title equals,
     contains or is contained in its own, or that carry the same requisition number, so
@@ -135,18 +131,15 @@ def fold_units(blocked: DataFrame, limit: int) -> DataFrame:
     """
     keys = ["owner", "block"]
     whole_unit = F.concat_ws("\u0001", *keys)
-    oversize = (
+    titled = (
         blocked.groupBy(*keys)
         .agg(F.count("*").alias("_n"), F.bool_or(F.col("title").isNull()).alias("_whole"))
-        .filter((F.col("_n") > limit) & ~F.col("_whole"))
+        .filter((F.col("_n") > 1) & ~F.col("_whole"))
         .select(*keys)
     )
-    if oversize.isEmpty():
-        return blocked.withColumn("unit", whole_unit)
-
     title_node = F.concat(F.lit("t:"), F.col("title"))
     nodes = (
-        blocked.join(oversize, keys, "left_semi")
+        blocked.join(titled, keys, "left_semi")
         .select(whole_unit.alias("owner"), "title", title_node.alias("u"), "req")
         .distinct()
     )

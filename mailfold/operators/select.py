@@ -27,7 +27,7 @@ def scan_window(days: int | None) -> int:
 
 def in_window(messages: DataFrame, days: int | None, as_of: dt.date) -> DataFrame:
     since = as_of - dt.timedelta(days=scan_window(days))
-    return messages.filter(F.col("msg_date").between(F.lit(since), F.lit(as_of)))
+    return messages.filter(F.col("msg_date") >= F.lit(since))
 
 
 def select_candidates(messages: DataFrame, days: int | None, as_of: dt.date) -> DataFrame:

@@ -244,17 +244,11 @@ COLUMNS = {
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a table of few files; a scan with enough splits is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in COLUMNS:
         df = df.select(*COLUMNS[name])
-    return spread(df) if name == "lineitem" else df
+    return df
 
 
 def derive(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
