@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,12 +32,28 @@ def in_block_pairs(rows: DataFrame, bucket: Sequence[str], row_id: str, fn: Call
     spread = placed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     paired = spread.withColumn("__lo", F.least("__own", "__other")).withColumn("__hi", F.greatest("__own", "__other"))
 
+    keys = [*bucket, "__lo", "__hi"]
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         lo, hi = group["__lo"].iloc[0], group["__hi"].iloc[0]
-        first = group[group["__own"] == lo]
-        return fn(first.reset_index(drop=True), None if lo == hi else group[group["__own"] == hi].reset_index(drop=True))
+        first = group[group["__own"] == lo].reset_index(drop=True)
+        return fn(first, None if lo == hi else group[group["__own"] == hi].reset_index(drop=True))
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows in; most buckets are small, so many of them pass in one batch."""
+        held = None
+        for batch in batches:
+            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            fresh = (frame[keys] != frame[keys].shift()).any(axis=1).to_numpy()
+            cuts = np.flatnonzero(fresh).tolist()
+            held = frame.iloc[cuts[-1] :].reset_index(drop=True)
+            for a, b in zip(cuts, cuts[1:]):
+                yield run(frame.iloc[a:b])
+        if held is not None and len(held):
+            yield run(held)
 
-    return paired.drop("__n", "__blocks", "__other").groupBy(*bucket, "__lo", "__hi").applyInPandas(run, schema)
+    dealt = paired.drop("__n", "__blocks", "__other").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInPandas(stream, schema)
 
 
 def local_roots(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

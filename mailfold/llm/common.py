@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -44,7 +45,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     sizes = np.ones(batch.num_rows, dtype=np.int64)
     for i, field in enumerate(batch.schema):
         if pa.types.is_string(field.type) or pa.types.is_binary(field.type) or pa.types.is_large_string(field.type):
-            width = pa.compute.binary_length(batch.column(i))
+            width = pc.binary_length(batch.column(i))
             sizes += width.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     step = np.cumsum(sizes) // STEP_CHARS
     cuts = [0, *(np.nonzero(np.diff(step))[0] + 1).tolist(), batch.num_rows]
