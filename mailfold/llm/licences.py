@@ -7,9 +7,9 @@ order, other identifiers between them allowed.  Rules are tried from the longest
 shortest and use up the identifiers they match, so that a full licence is not reported
 again as its own notice.
 
-Sentences end at one ``.``, ``!``, ``?`` or ``;`` before white space, at an empty line, or at
-a line break; because licence texts are wrapped, sentences that span lines are looked up as
-well.  Normalising lowers case and drops everything but letters and digits; a copyright
+Sentences end at one ``.``, ``!``, ``?``, ``;`` or ``:`` before white space, at an empty line,
+or at a line break; because licence texts are wrapped, sentences that span lines or colons
+are looked up as well.  Normalising lowers case and drops everything but letters and digits; a copyright
 notice loses its years and holders.
 
 Defined results: a null text counts as empty; a text without known sentences has an empty
@@ -121,7 +121,7 @@ RULES = [
     ("Proprietary", "reserved", ["reserved"]),
 ]
 
-_END = re.compile(r"(?<![.!?;])[.!?;](?=\s|$)|\n[ \t]*\n|\n")
+_END = re.compile(r"(?<![.!?;:])[.!?;:](?=\s|$)|\n[ \t]*\n|\n")
 _OTHER = re.compile(r"[\W_]+")
 _HOLDER = re.compile(r"^(?:copyright|c)\b.*$")
 
@@ -135,14 +135,17 @@ def normalised(sentence: str) -> str:
 
 
 KNOWN = {normalised(s): name for name, variants in SENTENCES.items() for s in variants}
+#: Every beginning, in whole words, of a known sentence.
+BEGINNINGS = {" ".join(words[:n]) for words in map(str.split, KNOWN) for n in range(1, len(words) + 1)}
+#: No known sentence is longer, however it is wrapped and indented.
 _LONGEST = max(len(s) for s in KNOWN) * 2
 
 
 def sentences(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, whether a mere line break ends it) of the sentences of ``text``."""
+    """(start, end, whether a mere line break or a colon ends it) of the sentences of ``text``."""
     out, start = [], 0
     for m in _END.finditer(text):
-        out.append((start, m.end(), m[0] == "\n"))
+        out.append((start, m.end(), m[0] in "\n:"))
         start = m.end()
     if start < len(text):
         out.append((start, len(text), False))
@@ -153,20 +156,19 @@ def identified(text: str) -> list[tuple[int, int, str]]:
     """(start, end, identifier) of the known sentences of ``text``, in order.
 
     A sentence may run over line breaks: parts joined by mere line breaks are looked up
-    together as long as they are no longer than a known sentence can be.
+    together, and so are parts that a colon ends, as long as they begin a known sentence.
     """
     parts, out, i = sentences(text), [], 0
     while i < len(parts):
         start, end, open_ = parts[i]
-        hit = KNOWN.get(normalised(text[start:end])) if end - start <= _LONGEST else None
-        last = i
-        j = i
-        while open_ and j + 1 < len(parts) and parts[j + 1][1] - start <= _LONGEST:
+        plain = normalised(text[start:end]) if end - start <= _LONGEST else ""
+        hit, last, j = KNOWN.get(plain), i, i
+        while open_ and plain in BEGINNINGS and j + 1 < len(parts) and parts[j + 1][1] - start <= _LONGEST:
             j += 1
             open_ = parts[j][2]
-            longer = KNOWN.get(normalised(text[start : parts[j][1]]))
-            if longer:
-                hit, last = longer, j
+            plain = normalised(text[start : parts[j][1]])
+            if plain in KNOWN:
+                hit, last = KNOWN[plain], j
         if hit:
             out.append((start, parts[last][1], hit))
         i = last + 1

@@ -177,7 +177,10 @@ def _address_matches(text: str) -> Iterator[tuple[int, int]]:
     for sign in _AT.finditer(text):
         if sign.start() < done:
             continue
-        left = _run_start(text, sign.start(), done)
+        end = sign.start()
+        if end > done and text[end - 1] == " ":
+            end -= 1
+        left = _run_start(text, end, done)
         m = PROPOSALS["email"].match(text, left)
         if m and m.end() > sign.start():
             done = m.end()

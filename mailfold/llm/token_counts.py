@@ -38,7 +38,7 @@ def allocate(ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     ``ends`` are the byte ends of consecutive tokens, ``bounds`` those of consecutive sections.
     """
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([np.zeros(1, dtype=np.int64), ends])[:-1]
     first = np.searchsorted(bounds, starts, side="right")
     last = np.searchsorted(bounds, ends, side="left")
     owner = first.copy()
