@@ -364,11 +364,11 @@ def bridge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, "events")
 
 
-def record_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Existing records to match against: one per order, from its messages."""
-    return thread_applications(spark, sf_dir).withColumn(
-        "seq", F.regexp_replace("app_id", "^t", "").cast("bigint")
-    )
+def both_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events and records to match, each written once: every lookup reads them several times."""
+    events = settle(bridge_events(spark, sf_dir), "match-events")
+    records = rollup.rollup_applications(by_thread(events), events, None, AS_OF)
+    return events, settle(records.withColumn("seq", F.regexp_replace("app_id", "^t", "").cast("bigint")), "match-records")
 
 
 def pair_counts(events: DataFrame, records: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -377,63 +377,63 @@ def pair_counts(events: DataFrame, records: DataFrame, pairs: DataFrame) -> Data
 
 @query
 def candidates_by_domain(spark, sf_dir):
-    e, r = bridge_events(spark, sf_dir), record_table(spark, sf_dir)
+    e, r = both_sides(spark, sf_dir)
     return pair_counts(e, r, match.pairs_by_domain(e, r))
 
 
 @query
 def candidates_by_first_word(spark, sf_dir):
-    e, r = bridge_events(spark, sf_dir), record_table(spark, sf_dir)
+    e, r = both_sides(spark, sf_dir)
     return pair_counts(e, r, match.pairs_by_first_word(e, r))
 
 
 @query
 def candidates_same_entity(spark, sf_dir):
-    e, r = bridge_events(spark, sf_dir), record_table(spark, sf_dir)
+    e, r = both_sides(spark, sf_dir)
     return pair_counts(e, r, match.pairs_same_entity(e, r))
 
 
 @query
 def candidates_gathered(spark, sf_dir):
-    return match.gather_candidates(bridge_events(spark, sf_dir), record_table(spark, sf_dir))
+    return match.gather_candidates(*both_sides(spark, sf_dir))
 
 
 @query
 def requisitions_matched(spark, sf_dir):
-    return match.match_requisition(bridge_events(spark, sf_dir), record_table(spark, sf_dir))
+    return match.match_requisition(*both_sides(spark, sf_dir))
 
 
 @query
 def postings_matched(spark, sf_dir):
-    out = match.match_posting(bridge_events(spark, sf_dir), record_table(spark, sf_dir))
+    out = match.match_posting(*both_sides(spark, sf_dir))
     return out.withColumn("is_exact", F.col("is_exact").cast("int").cast("bigint"))
 
 
 @query
 def unique_variants(spark, sf_dir):
-    e, r = bridge_events(spark, sf_dir), record_table(spark, sf_dir)
+    e, r = both_sides(spark, sf_dir)
     return match.exactly_one(e, r).select("owner", "message_id", "first_app_id")
 
 
 @query
 def nearest_paired(spark, sf_dir):
-    return match.pair_nearest(bridge_events(spark, sf_dir), record_table(spark, sf_dir))
+    return match.pair_nearest(*both_sides(spark, sf_dir))
 
 
 @query
 def latest_asof(spark, sf_dir):
-    out = match.asof_latest(bridge_events(spark, sf_dir), record_table(spark, sf_dir))
+    out = match.asof_latest(*both_sides(spark, sf_dir))
     return out.select("owner", "message_id", "app_id", day("date_applied"))
 
 
 @query
 def oldest_asof(spark, sf_dir):
-    return match.asof_oldest(bridge_events(spark, sf_dir), record_table(spark, sf_dir))
+    return match.asof_oldest(*both_sides(spark, sf_dir))
 
 
 @query
 def roleless_asof(spark, sf_dir):
-    return match.asof_roleless(bridge_events(spark, sf_dir), record_table(spark, sf_dir))
+    return match.asof_roleless(*both_sides(spark, sf_dir))
 
 
 @query

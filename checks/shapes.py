@@ -52,11 +52,11 @@ NOISY_SUBJECT = cases(
 )
 REQ_SUBJECT = cases(
     "internal_ms % 9",
-    "concat(subject, ' - 31143106')",
+    "concat(subject, ' - 40927718')",
     "concat(subject, ' Job ID# 2031-0044321')",
-    "concat(subject, ' 722493BR')",
-    "concat(subject, ' REQ352476')",
-    "concat(subject, ' (ID: 3092179)')",
+    "concat(subject, ' 618204BR')",
+    "concat(subject, ' REQ907155')",
+    "concat(subject, ' (ID: 5518046)')",
     "concat(subject, ' call 212-555-0100')",
     "concat(subject, ' Level 3 req 4')",
     otherwise="subject",
@@ -86,9 +86,9 @@ RAW_ROLE = cases(
     "concat(role, ' [', internal_ms % 999999, ']')",
     "concat(role, ' (Req ID: ', internal_ms % 999999, ')')",
     "concat(role, ' (', internal_ms % 999999, 'BR)')",
-    "concat(role, ' - 2031-75736')",
-    "concat(role, ' R0859802')",
-    "concat(role, ' Remote in Springfield')",
+    "concat(role, ' - 2031-60418')",
+    "concat(role, ' R0417326')",
+    "concat(role, ' Remote in Marlow')",
     "concat(role, ' - Lake Town, NY')",
     "concat(role, ', Rivertown, TX 75001')",
     "concat(role, ' United States (US)')",
@@ -124,13 +124,13 @@ RAW_REQ = cases(
     "o_orderkey % 10",
     "concat('Req ', 50000 + o_orderkey)",
     "concat('# Job Number: ', 70000 + o_orderkey)",
-    "concat('REQ', 352476 + o_orderkey)",
-    "concat('R_', 336139 + o_orderkey)",
+    "concat('REQ', 907000 + o_orderkey)",
+    "concat('R_', 514000 + o_orderkey)",
     "'2031'",
-    "'prose words 12345 here'",
+    "'prose words 24680 here'",
     "concat(' job id - ref: ', 90000 + o_orderkey, 'BR ')",
     "concat('Requisition#', 40000 + o_orderkey)",
-    "'HREMOTE-US-Telework'",
+    "'HOFFICE-EU-Hybrid'",
     otherwise="concat('R.', 100000 + o_orderkey)",
 )
 RAW_REFS = cases(
