@@ -444,6 +444,69 @@ reach(owner, node, label) AS (
   SELECT w.owner, w.v, reach.label FROM reach JOIN ways w ON w.owner = reach.owner AND w.u = reach.node),
 components AS (SELECT owner, node, min(label) AS component FROM reach GROUP BY owner, node)"""
 
+
+
+# --- the fold --------------------------------------------------------------------------------
+
+RECORD = ("STRUCT(app_id VARCHAR, company VARCHAR, words VARCHAR[], title VARCHAR, req VARCHAR, dom VARCHAR, day DATE, "
+          "awaiting BOOLEAN, fast BOOLEAN, confirmed BOOLEAN)")
+
+
+def fold(source: str) -> str:
+    """CTEs ``turn`` and ``fold``: one message of every owner a round, in order of arrival.
+
+    The state of an owner is the list of records so far; no blocking, so all records are
+    looked at.  Choices are numbers made of sort keys, with the record's place in the list
+    as the last six digits.
+    """
+    rec = "recs[c.i]"
+    starts = lambda r: (
+        f"lower(left({r}.company, length(first_word))) = lower(first_word) AND NOT "
+        f"regexp_matches(lower(substr({r}.company, length(first_word) + 1, 1)), '[a-z0-9]')"
+    )
+    number = lambda r: f"({r}.day - DATE '1970-01-01')"
+    least = lambda pool, test, by: f"list_min(list_transform(list_filter({pool}, lambda c: {test}), lambda c: {by})) % 1000000"
+    claim = (f"NOT (CASE WHEN fast THEN {rec}.fast ELSE {rec}.confirmed END) AND "
+             f"(CASE WHEN {rec}.awaiting THEN day <= {rec}.day ELSE abs(day - {rec}.day) <= 4 END)")
+    nearest = lambda pool: least(pool, claim, f"abs(day - {rec}.day) * 1000000 + c.i")
+    oldest = lambda pool, test: least(pool, test, f"{number(rec)} * 1000000 + c.i")
+    latest = lambda pool, test: least(pool, test, f"(1000000 - {number(rec)}) * 10000000 + c.h * 1000000 + c.i")
+    past = f"{rec}.day <= day"
+    return f"""
+turn AS MATERIALIZED (SELECT owner, row_number() OVER (PARTITION BY owner {ORDER}) AS n, message_id, company, {words('company')} AS words,
+  string_split_regex(company, '\\s+')[1] AS first_word, CASE WHEN nullif(nullif(role, ''), 'Unknown Role') IS NOT NULL THEN {key('role')} END AS title,
+  nullif(external_id, '') AS req, company_domain AS dom, msg_date AS day, CAST(is_confirmation AS BOOLEAN) AS conf,
+  CAST(is_fast_apply AS BOOLEAN) AS fast FROM {source}),
+fold(owner, n, recs, message_id, app_id, is_new, bridged) AS (
+  SELECT owner, CAST(0 AS BIGINT), CAST([] AS {RECORD}[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), false, false FROM turn GROUP BY owner
+  UNION ALL
+  SELECT owner, n,
+    CASE WHEN chosen IS NULL THEN list_append(recs, CAST(row('app-' || message_id, company, words, title, req, dom, day, NOT conf, fast, conf AND NOT fast) AS {RECORD}))
+    ELSE list_transform(recs, lambda r, i: CASE WHEN i <> chosen THEN r ELSE CAST(row(r.app_id, r.company, r.words, coalesce(r.title, title),
+      coalesce(r.req, req), coalesce(r.dom, dom), least(r.day, day), r.awaiting AND NOT conf, r.fast OR fast, r.confirmed OR (conf AND NOT fast)) AS {RECORD}) END) END,
+    message_id, CASE WHEN chosen IS NULL THEN 'app-' || message_id ELSE recs[chosen].app_id END, chosen IS NULL,
+    coalesce(recs[chosen].dom = dom AND NOT {same_entity('words', 'recs[chosen].words')}, false)
+  FROM (
+    SELECT *, coalesce(shared, CASE
+      WHEN title IS NULL THEN CASE WHEN conf THEN {nearest('pool')} ELSE {oldest('pool', f"({past} OR {rec}.awaiting)")} END
+      WHEN conf THEN coalesce({nearest('posting')}, {nearest('untitled')})
+      ELSE coalesce({latest('posting', f"({past} OR {rec}.awaiting)")}, {oldest('untitled', past)}) END) AS chosen
+    FROM (
+      SELECT *, list_filter(pool, lambda c: {rec}.title IS NULL) AS untitled,
+        CASE WHEN len(list_filter(pool, lambda c: {rec}.title = title)) > 0 THEN list_filter(pool, lambda c: {rec}.title = title)
+             WHEN len(list_filter(pool, lambda c: {rec}.title <> '' AND (contains({rec}.title, title) OR contains(title, {rec}.title)))) = 1
+             THEN list_filter(pool, lambda c: {rec}.title <> '' AND (contains({rec}.title, title) OR contains(title, {rec}.title)))
+             ELSE list_filter(pool, lambda c: false) END AS posting
+      FROM (
+        SELECT *, {least('met', f"{rec}.req = req", "c.h * 1000000 + c.i")} AS shared,
+          list_filter(met, lambda c: req IS NULL OR {rec}.req IS NULL) AS pool
+        FROM (
+          SELECT t.*, f.recs, list_filter(list_transform(range(1, len(f.recs) + 1), lambda i: {{'i': i, 'h': CASE
+              WHEN dom = f.recs[i].dom THEN 0 WHEN dom IS NOT NULL AND f.recs[i].dom IS NOT NULL THEN NULL
+              WHEN {starts('f.recs[i]')} AND {same_entity('words', 'f.recs[i].words')} THEN 1 END}}), lambda c: c.h IS NOT NULL) AS met
+          FROM fold f JOIN turn t ON t.owner = f.owner AND t.n = f.n + 1) m0) m1) m2) m3)"""
+
+
 ORACLES: dict[str, str] = {}
 
 
@@ -551,6 +614,12 @@ WHERE NOT is_confirmation AND e_role IS NULL AND (date_applied <= msg_date OR aw
 oracle("roleless_asof", f"""WITH {PAIRS}, {LATEST} SELECT owner, message_id, first(app_id ORDER BY date_applied, seq) AS app_id FROM cand
 WHERE NOT is_confirmation AND e_role IS NOT NULL AND r_role = 'Unknown Role' AND date_applied <= msg_date
   AND NOT EXISTS (SELECT 1 FROM latest l WHERE l.message_id = cand.message_id) GROUP BY owner, message_id""")
+oracle("messages_assigned", f"WITH RECURSIVE {EVENTS}, {fold('mail')} SELECT owner, message_id, app_id, CAST(is_new AS BIGINT) AS is_new FROM fold WHERE n > 0")
+oracle("domain_bridges", f"WITH RECURSIVE {EVENTS}, {fold('mail')} SELECT owner, message_id, app_id FROM fold WHERE bridged")
+oracle("applications_matched", f"""WITH RECURSIVE {CLASSIFIED},
+merges AS (SELECT * REPLACE (CAST(is_confirmation AS BOOLEAN) AS is_confirmation, CAST(is_fast_apply AS BOOLEAN) AS is_fast_apply) FROM classified WHERE kind = 'merge'),
+{fold('merges')}, j AS (SELECT m.*, f.app_id FROM merges m JOIN fold f ON f.owner = m.owner AND f.message_id = m.message_id AND f.n > 0),
+apps AS ({rollup('j', 'owner, app_id', 'app_id')}) SELECT {VIEW} FROM apps""")
 oracle("employer_components", f"WITH {BLOCKS} SELECT owner, node, component FROM components")
 oracle("employer_block_sizes", f"""WITH {BLOCKS} SELECT b3.owner, coalesce(component, name_node, domain_node) AS block, count(*) AS n_rows
 FROM b3 LEFT JOIN components c ON c.owner = b3.owner AND c.node = coalesce(name_node, domain_node) GROUP BY 1, 2""")
@@ -722,4 +791,4 @@ SELECT o_orderkey, CASE WHEN t = 0 THEN '0s' ELSE trim(concat(CASE WHEN t >= 360
 oracle("message_ids_extracted", f"""WITH p AS (SELECT o_orderkey, trim({shapes.PASTED_LINK}) AS s FROM orders),
 c AS (SELECT o_orderkey, CASE WHEN contains(s, '#') THEN split_part(list_last(string_split(list_last(string_split(s, '#')), '/')), '?', 1) ELSE s END AS c FROM p)
 SELECT o_orderkey, CASE WHEN regexp_matches(c, '^[A-Za-z0-9_-]+$') THEN c END AS message_id FROM c""")
-oracle("ledger_after_sync", f"WITH {MESSAGES} SELECT owner, message_id, thread_id FROM messages WHERE internal_ms % 5 <> 0")
+oracle("ledger_after_sync", f"WITH {MESSAGES} SELECT owner, message_id, thread_id FROM messages")

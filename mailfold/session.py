@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -27,10 +30,10 @@ def build_session(app: str = "mailfold", master: str | None = None, **extra: str
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The folder of this run's intermediate tables, removed when the session's JVM ends.
 
-    A cluster names it in ``spark.checkpoint.dir``; a local session that names none
-    gets a folder of its own.
+    A cluster names the shared folder it lies in by ``spark.checkpoint.dir``; a local session
+    that names none gets a folder of its own.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -38,9 +41,28 @@ def scratch_dir(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="mailfold-")
+        shared = _own_folder()
         spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
+    return _run_folder(spark, shared.rstrip("/"), spark.sparkContext.applicationId)
+
+
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """One folder for all local sessions of this process."""
+    path = tempfile.mkdtemp(prefix="mailfold-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+@functools.lru_cache(maxsize=None)
+def _run_folder(spark: SparkSession, shared: str, application: str) -> str:
+    """``shared/mailfold-<application>``; its file system deletes it on exit."""
+    path = f"{shared}/mailfold-{application}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(jvm_path)
+    files.deleteOnExit(jvm_path)
+    return path
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
