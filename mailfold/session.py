@@ -76,13 +76,13 @@ def settle_measured(df: DataFrame, label: str, **measures: Column) -> tuple[Data
     return written, tuple(seen.get[k] for k in measures)
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
+def settle(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder, with the writer's ``options``, and read it back.
 
     Cuts the lineage and fixes the rows: an executor lost later re-reads files instead
     of recomputing, and every later reader sees the same rows.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.options(**options).mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
