@@ -97,9 +97,9 @@ def run_model(messages: DataFrame, model: Callable[[Iterable[tuple[str, str, str
     def call(batches: Iterator) -> Iterator:
         for batch in batches:
             answers = model(zip(batch["sender"], batch["subject"], batch["body"], strict=True))
-            yield batch[["message_id"]].assign(raw_text=list(answers))
+            yield batch[["owner", "message_id"]].assign(raw_text=list(answers))
 
-    return messages.select("message_id", "sender", "subject", "body").mapInPandas(
+    return messages.select("owner", "message_id", "sender", "subject", "body").mapInPandas(
         call, schema=schemas.MODEL_OUTPUTS
     )
 
@@ -134,11 +134,15 @@ def parse_model_outputs(raw: DataFrame) -> DataFrame:
             ),
         )
 
-    one_each = raw.groupBy("message_id").agg(F.min("raw_text").alias("raw_text"))
+    keys = answer_keys(raw)
+    one_each = raw.groupBy(*keys).agg(F.min("raw_text").alias("raw_text"))
     parsed = F.try_parse_json(blank_to_null(F.regexp_extract("raw_text", r"(?s)\{.*\}", 0)))
-    return one_each.select("message_id", parsed.alias("v")).select(
-        "message_id", read(F.col("v")).alias("model")
-    )
+    return one_each.select(*keys, parsed.alias("v")).select(*keys, read(F.col("v")).alias("model"))
+
+
+def answer_keys(raw: DataFrame) -> list[str]:
+    """Message ids are unique within a mailbox: answers of several owners carry the owner."""
+    return [c for c in ("owner", "message_id") if c in raw.columns]
 
 
 def join_model(extracted: DataFrame, outputs: DataFrame | None) -> DataFrame:
@@ -146,7 +150,7 @@ def join_model(extracted: DataFrame, outputs: DataFrame | None) -> DataFrame:
     empty = F.lit(None).cast("struct<category:string,company:string,role:string,req_id:string>")
     if outputs is None:
         return extracted.withColumn("model", empty)
-    return extracted.join(parse_model_outputs(outputs), "message_id", "left")
+    return extracted.join(parse_model_outputs(outputs), answer_keys(outputs), "left")
 
 
 def resolve_classification(joined: DataFrame) -> DataFrame:

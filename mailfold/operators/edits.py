@@ -75,31 +75,54 @@ def prepare_new(rows: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFra
     return accepted, checked.filter(F.col("reason").isNotNull())
 
 
+def owned_keys(requests: DataFrame) -> list[str]:
+    """Applications are keyed on owner and id; a table of one owner's requests may leave the owner out."""
+    return [c for c in ("owner", "app_id") if c in requests.columns]
+
+
+def _same(keys: list[str]) -> Column:
+    """Rows whose ``keys`` equal the private copies ``_owner``, ``_app_id`` of them."""
+    on = F.lit(True)
+    for c in keys:
+        on &= F.col(c) == F.col(f"_{c}")
+    return on
+
+
+def _private(table: DataFrame, keys: list[str], *rest: Column) -> DataFrame:
+    return table.select(*[F.col(c).alias(f"_{c}") for c in keys], *rest)
+
+
 def check_edits(edits: DataFrame) -> DataFrame:
-    """Adds ``reason``: why an edit is refused, or null."""
+    """Adds ``reason``: why an edit is refused, or null.
+
+    Edits carry no order, so several of one application contradict each other and are all refused.
+    """
     fields = F.col("set_fields")
     status, step = fields["status"], fields["interview_step"]
     bad_status = F.map_contains_key(fields, "status") & ~F.coalesce(status.isin(*fixed.STATUSES), F.lit(False))
     bad_step = step.isNotNull() & ~step.isin(*fixed.STEPS)
-    return edits.withColumn(
+    checked = edits.withColumn(
         "reason",
         F.when(F.coalesce(bad_status, F.lit(False)), F.lit("invalid status")).when(
             F.coalesce(bad_step, F.lit(False)), F.lit("invalid interview_step")
         ),
     )
+    keys = owned_keys(edits)
+    several = edits.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+    repeated = F.when(F.col("_n").isNotNull(), F.lit("several edits of one application"))
+    joined = checked.join(_private(several, keys, F.col("_n")), _same(keys), "left")
+    return joined.withColumn("reason", F.coalesce("reason", repeated)).drop("_n", *[f"_{c}" for c in keys])
 
 
 def apply_edits(apps: DataFrame, edits: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """(applications after the edits, refused edits with a reason).
 
     An edit is a map of the fields it sets: an absent key leaves the field, a null value
-    clears it.  At most one edit per application and batch.
+    clears it.
     """
-    checked = check_edits(edits)
-    good = checked.filter(F.col("reason").isNull()).select(
-        F.col("app_id").alias("_id"), F.col("set_fields").alias("_set")
-    )
-    joined = apps.join(good, F.col("app_id") == F.col("_id"), "left")
+    checked, keys = check_edits(edits), owned_keys(edits)
+    good = _private(checked.filter(F.col("reason").isNull()), keys, F.col("set_fields").alias("_set"))
+    joined = apps.join(good, _same(keys), "left")
     given = F.col("_set")
 
     def sets(name: str) -> Column:
@@ -124,29 +147,28 @@ def apply_edits(apps: DataFrame, edits: DataFrame, as_of: dt.datetime) -> tuple[
         sets("last_activity"), date_ms(valid_date(given["last_activity"]))
     ).otherwise(F.col("last_activity_ts"))
     changes["updated_at"] = F.when(given.isNotNull(), F.lit(as_of).cast("timestamp")).otherwise(F.col("updated_at"))
-    known = apps.select(F.col("app_id").alias("_known"))
     unmatched = (
         checked.filter(F.col("reason").isNull())
-        .join(known, F.col("app_id") == F.col("_known"), "left_anti")
+        .join(_private(apps, keys), _same(keys), "left_anti")
         .withColumn("reason", F.lit("not found"))
     )
     refused = checked.filter(F.col("reason").isNotNull()).unionByName(unmatched)
-    return joined.withColumns(changes).drop("_id", "_set"), refused
+    return joined.withColumns(changes).drop("_set", *[f"_{c}" for c in keys]), refused
 
 
 def apply_ref_edits(refs: DataFrame, edits: DataFrame, apps: DataFrame) -> DataFrame:
     """Replace the references of applications whose edit carries ``emails``."""
     replaced = check_edits(edits).filter(F.col("reason").isNull() & F.col("emails").isNotNull())
-    owners = apps.select("owner", "app_id")
+    keys = owned_keys(edits)
     fresh = (
-        replaced.join(owners, "app_id")
+        replaced.join(apps.select("owner", "app_id"), keys)
         .select("owner", "app_id", F.posexplode(sanitize_refs(F.col("emails"))).alias("position", "r"))
         .select(
             "owner", "app_id", F.col("position").cast("bigint").alias("position"), "r.message_id", "r.category",
             "r.date", "r.fast_apply",
         )
     )
-    kept = refs.join(replaced.select("app_id").distinct(), "app_id", "left_anti")
+    kept = refs.join(replaced.select(*keys).distinct(), keys, "left_anti")
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
@@ -246,9 +268,10 @@ def ledger_append(ledger: DataFrame, new: DataFrame) -> DataFrame:
 
 def changed_since(before: DataFrame, after: DataFrame) -> DataFrame:
     """Ids that are new or whose ``updated_at`` moved."""
-    old = before.select("app_id", F.col("updated_at").alias("_before"))
+    keys = [c for c in owned_keys(before) if c in after.columns]
+    old = before.select(*keys, F.col("updated_at").alias("_before"))
     return (
-        after.join(old, "app_id", "left")
+        after.join(old, keys, "left")
         .filter(~F.col("updated_at").eqNullSafe(F.col("_before")))
         .select("app_id")
     )

@@ -141,18 +141,14 @@ def with_labels(apps: DataFrame) -> DataFrame:
 
 
 def email_links(refs: DataFrame, apps: DataFrame) -> DataFrame:
-    """One row per tracked message with its label and web link, in chronological order."""
+    """One row per tracked message with its label and web link; ``date`` and ``position`` order them."""
     accounts = apps.select("owner", "app_id", "account")
     text = F.when(F.col("fast_apply"), F.lit(fixed.LINK_FAST)).otherwise(
         F.concat(F.lit(fixed.LINK_STAGE), label(F.col("category"), fixed.STATUS_LABELS))
     )
-    return (
-        refs.join(accounts, ["owner", "app_id"])
-        .select(
-            "owner", "app_id", "date", "position", "message_id", text.alias("label"),
-            message_link(F.col("message_id"), F.col("account")).alias("link"),
-        )
-        .orderBy("owner", "app_id", "date", "position", "message_id")
+    return refs.join(accounts, ["owner", "app_id"]).select(
+        "owner", "app_id", "date", "position", "message_id", text.alias("label"),
+        message_link(F.col("message_id"), F.col("account")).alias("link"),
     )
 
 

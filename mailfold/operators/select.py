@@ -88,9 +88,10 @@ def with_status(apps: DataFrame, status: str | None) -> DataFrame:
 
 def drop_applications(apps: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(remaining applications, requested ids with a ``found`` flag)."""
-    wanted = ids.select("app_id").distinct()
-    known = apps.select("app_id", F.lit(True).alias("found"))
+    keys = [c for c in ("owner", "app_id") if c in ids.columns]  # one owner's requests may leave the owner out
+    wanted = ids.select(*keys).distinct()
+    known = apps.select(*keys, F.lit(True).alias("found")).distinct()
     return (
-        apps.join(wanted, "app_id", "left_anti"),
-        wanted.join(known, "app_id", "left").withColumn("found", F.coalesce("found", F.lit(False))),
+        apps.join(wanted, keys, "left_anti"),
+        wanted.join(known, keys, "left").withColumn("found", F.coalesce("found", F.lit(False))),
     )

@@ -11,7 +11,7 @@ MESSAGES = """
   body STRING, internal_ms BIGINT, msg_date DATE
 """
 
-MODEL_OUTPUTS = "message_id STRING, raw_text STRING"
+MODEL_OUTPUTS = "owner STRING, message_id STRING, raw_text STRING"
 
 EVENTS = """
   owner STRING, account STRING, message_id STRING, thread_id STRING, subject STRING, kind STRING,
