@@ -9,9 +9,10 @@ Text is lower-cased and everything but letters becomes a space first, so that ma
 digits and capitals say nothing about the language.  All of a text counts: blocks keep the
 dictionary within reach at any length.
 
-Only the dictionaries come from a bounded sample of labelled rows (``EXCERPTS`` a language
-of ``EXCERPT_CHARS`` characters, ``DICTIONARY_BYTES`` in all), taken in order of a hash of
-the document id, so that the choice does not depend on partitions.
+Only the dictionaries come from a bounded sample of labelled rows (``STRATA`` x
+``STRATUM_ROWS`` a language, ``EXCERPT_CHARS`` characters of each, ``DICTIONARY_BYTES`` in
+all), taken in order of a hash of the document id, so that the choice does not depend on
+partitions, and by strata of that hash, so that no language meets in one task.
 
 Defined results: null text or text without a letter gets ``und``, score 0, and is rejected;
 equal sizes go to the alphabetically first language with score 0 (rejected); without a
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from mailfold.llm.common import map_rows
 
-EXCERPTS = 600
+#: A language's sample: so many rows from each of so many strata of the hash of the id.
+STRATA = 60
+STRATUM_ROWS = 10
 EXCERPT_CHARS = 300
 DICTIONARY_BYTES = 64 * 1024
 BLOCK_BYTES = 4096
@@ -60,8 +63,9 @@ def learn(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col:
     order = F.xxhash64(F.col(id_col), F.lit("excerpt"))
     labelled = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     keyed = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("language"), order.alias("place"))
-    best = Window.partitionBy("language").orderBy("place", "id")
-    chosen = keyed.withColumn("n", F.row_number().over(best)).where(F.col("n") <= EXCERPTS).select("id", "language", "place")
+    best = Window.partitionBy("language", "stratum").orderBy("place", "id")
+    ranked = keyed.withColumn("stratum", F.pmod("place", F.lit(STRATA))).withColumn("n", F.row_number().over(best))
+    chosen = ranked.where(F.col("n") <= STRATUM_ROWS).select("id", "language", "place")
     texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("language"), F.col(text_col).alias("text"))
     sampled = texts.join(F.broadcast(chosen.distinct()), ["id", "language"])
     excerpts = map_rows(sampled, "language string, place bigint, excerpt string", _excerpts, language="language", place="place", text="text")
