@@ -156,12 +156,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     stars = spread.join(leaders, ["band", "key"]).where("doc_id <> v OR version <> version_v")
     stars = settle(stars.select(F.col("doc_id").alias("u"), F.col("version").alias("version_u"), "v", "version_v").distinct(), "llm-stars")
 
-    # Texts move only for documents that are a candidate of some pair.
+    # Texts move only for documents that are a candidate of some pair.  Candidates grow with the
+    # input, so these joins are sort-merge joins at every size.
     needed = stars.select(F.col("u").alias("doc_id"), F.col("version_u").alias("version")).union(stars.select("v", "version_v")).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = settle(texts.join(settle(needed, "llm-needed"), ["doc_id", "version"], "left_semi"), "llm-candidate-texts")
+    texts = settle(texts.join(settle(needed, "llm-needed").hint("merge"), ["doc_id", "version"], "left_semi"), "llm-candidate-texts")
     one = lambda side: texts.select(F.col("doc_id").alias(side), F.col("version").alias(f"version_{side}"), F.col("text").alias(f"text_{side}"))
-    pairs = stars.join(one("u"), ["u", "version_u"]).join(one("v"), ["v", "version_v"])
+    pairs = stars.join(one("u").hint("merge"), ["u", "version_u"]).join(one("v").hint("merge"), ["v", "version_v"])
     links = settle(verified(pairs, words, least), "llm-links")
 
     parts = components(links)
