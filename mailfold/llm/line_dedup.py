@@ -77,7 +77,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = settle(repeated_lines(docs, id_col, text_col, run, long_words), "llm-repeated-lines").select(
         F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("numbers").alias("__numbers"))
     lined = docs.withColumn("__own", F.xxhash64(text_col)).withColumn(text_col, F.split(text_col, "\n", -1))
-    joined = lined.join(gone, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__version")), "left")
+    # Documents with repeats grow with the input, so this is a sort-merge join at every size.
+    joined = lined.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__version")), "left")
     lines = F.col(text_col)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__numbers")), lambda i: lines[i])
     text = F.array_join(F.when(F.col("__numbers").isNull(), lines).otherwise(kept), "\n")
