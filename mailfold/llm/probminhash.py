@@ -119,10 +119,15 @@ def _across(words: int, least: float):
     """Links between different components among the rows of one or two blocks."""
     def run(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
         rows = a if b is None else pd.concat([a, b], ignore_index=True)
-        sets = shingle_sets(rows["text"].fillna("").to_list(), words)
+        parts, ids = rows["component"].to_numpy(), rows["doc_id"].to_list()
+        differ = parts[: len(a), None] != parts[None, :]
+        i, j = np.nonzero(np.triu(differ, 1) if b is None else differ & (np.arange(len(rows)) >= len(a)))
         bands, band = np.stack(rows["bands"].to_list()), int(rows["band"].iloc[0])
-        parts, ids = rows["component"].to_list(), rows["doc_id"].to_list()
-        leader = {p: p for p in parts}
+        fresh = ~(bands[i, :band] == bands[j, :band]).any(axis=1)  # not met in an earlier band
+        i, j = i[fresh].tolist(), j[fresh].tolist()
+        needed = sorted({*i, *j})
+        sets = dict(zip(needed, shingle_sets(rows["text"].iloc[needed].fillna("").to_list(), words)))
+        leader = {p: p for p in parts.tolist()}
 
         def top(p):
             while leader[p] != p:
@@ -130,13 +135,11 @@ def _across(words: int, least: float):
             return p
 
         found = []
-        for i in range(len(a)):
-            for j in range(i + 1 if b is None else len(a), len(rows)):
-                p, q = top(parts[i]), top(parts[j])
-                if p != q and not (bands[i, :band] == bands[j, :band]).any():
-                    if probability_jaccard(*sets[i], *sets[j]) >= least - _SLACK:
-                        leader[max(p, q)] = min(p, q)
-                        found.append((ids[i], ids[j]))
+        for x, y in zip(i, j):
+            p, q = top(int(parts[x])), top(int(parts[y]))
+            if p != q and probability_jaccard(*sets[x], *sets[y]) >= least - _SLACK:
+                leader[max(p, q)] = min(p, q)
+                found.append((ids[x], ids[y]))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
     return run
