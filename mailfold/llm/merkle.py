@@ -24,12 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from mailfold.llm.common import map_rows
 from mailfold.session import settle
 
 BLOCK_WORDS = 8
@@ -188,16 +190,26 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 500) -> Iterat
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield tuple(c[i].as_py() for c in batch.columns)
 
 
+def _pressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids, a hash of the text to order equal ids by, and the text compressed: it is about to move."""
+    def run(rows):
+        press = zstandard.ZstdCompressor(level=3).compress
+        yield {"doc_id": rows["doc_id"], "tie": rows["tie"], "body": [press((t or "").encode()) for t in rows["text"]]}
+
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    return map_rows(keyed, "doc_id bigint, tie bigint, body binary", run, doc_id="doc_id", tie="tie", text="text")
+
+
 def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited form, and their likeness to it and to the next text.
 
-    Texts are dealt out by ranges of the descending order once; inside a range each row meets
+    Texts are compressed and dealt out by ranges of the descending order once; inside a range each row meets
     its successor while rows stream by.  The last row of a range and the first of the next
     one are written out and joined on the number of the range.
     """
@@ -209,9 +221,9 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         part = TaskContext.get().partitionId()
 
         def rows():
-            last = None
-            for doc_id, text in _texts(batches):
-                text = text or ""
+            last, open_ = None, zstandard.ZstdDecompressor().decompress
+            for doc_id, _, body in _rows(batches):
+                text = open_(body).decode()
                 own = fingerprint(text)
                 if last is None:
                     yield empty | {"part": part, "role": "head", "text": text}
@@ -225,16 +237,15 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def close(batches):
         def rows():
-            for doc_id, text, following in _texts(batches):
+            for doc_id, text, following in _rows(batches):
                 yield _result(doc_id, text, fingerprint(text), following, fingerprint(following))
 
         return _batches(rows(), result)
 
     spark = docs.sparkSession
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    streamed = settle(dealt.mapInArrow(stream, _SEAM), "llm-merkle")
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    dealt = _pressed(docs, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
+    streamed = settle(dealt.mapInArrow(stream, _SEAM), "llm-merkle", compression="zstd")
     # As many numbers as there are ranges, not rows.
     parts = sorted(r["part"] for r in streamed.where("role = 'head'").select("part").collect())
     after = list(zip(parts, parts[1:] + parts[:1]))
@@ -247,8 +258,6 @@ def with_successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint) for every row, without a shuffle."""
-    from mailfold.llm.common import map_rows
-
     def run(rows):
         yield {"doc_id": rows["doc_id"], "fingerprint": [fingerprint(t) for t in rows["text"]]}
 
