@@ -44,17 +44,21 @@ def merge_ranks(spec: dict) -> dict[bytes, int] | None:
 class ByteBpe:
     """``ids(text)`` gives unsigned 32-bit ids, ``byte_lengths[ids]`` the bytes each covers.
 
-    Texts with rare characters go to ``tokenizers`` itself.  The others go to the same merges
-    held by ``tiktoken``, several times faster, if the vocabulary file allows it.
+    Texts with rare characters, and those that hold the string of an added token, go to
+    ``tokenizers`` itself.  The others go to the same merges held by ``tiktoken``, several
+    times faster, if the vocabulary file allows it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.byte_lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        for i, content in added.items():  # written as they are, not in letters of bytes
+            self.byte_lengths[i] = len(content.encode())
+        self.added = tuple(added.values())
         with open(path, encoding="utf-8") as file:
             ranks = merge_ranks(json.load(file))
         self.fast = None
@@ -65,7 +69,7 @@ class ByteBpe:
             self.fast = tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast and (text.isascii() or max(text) < STABLE_BELOW):
+        if self.fast and (text.isascii() or max(text) < STABLE_BELOW) and not any(t in text for t in self.added):
             return np.asarray(self.fast.encode_ordinary(text), dtype="<u4")
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 

@@ -37,6 +37,25 @@ def test_byte_bpe_equals_the_library(tokenizer):
         assert codec.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_a_fresh_library_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = byte_bpe.default_vocabulary()
+    fresh, codec = Tokenizer.from_file(path), byte_bpe.load(path)
+    rng, parts = random.Random(5), ["<|endoftext|>", "<|endoftext|", "|>", " ", "\n", "a", "é", "中", "word"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(1000))]
+    for text in texts:
+        ids = fresh.encode(text, add_special_tokens=False).ids
+        assert codec.ids(text).tolist() == ids, repr(text)
+        assert codec.byte_lengths[ids].sum() == len(text.encode()), repr(text)
+    assert codec.ids(texts[0]).tolist() == [64, 220, 50256, 275]
+    one = spark.createDataFrame([(1, "a <|endoftext|>\nb")], "doc_id bigint, text string")
+    want = fresh.encode("a <|endoftext|>\nb", add_special_tokens=False).ids
+    assert [r.n_doc_tokens for r in token_counts.section_counts(one).collect()] == [len(want)] * 2
+    crc = zlib.crc32(np.array(want + [0], dtype="<u4").tobytes())
+    assert [(r.length, r.ids_crc32) for r in packing.packed(one).collect()] == [(len(want) + 1, crc)]
+
+
 def test_section_counts_add_up(docs, tokenizer):
     rows = token_counts.section_counts(docs).collect()
     by_doc = {}
