@@ -94,11 +94,13 @@ def passes(kind: str, span: str) -> bool:
 
 
 _IN_ADDRESS = frozenset("._%+-")
+#: Whoever ignores case takes these for the letters i, s and k as well.
+_IN_PROPOSAL = _IN_ADDRESS | frozenset("\u0130\u0131\u017f\u212a")
 
 
-def _run_start(text: str, at: int, least: int) -> int:
+def _run_start(text: str, at: int, least: int, others: frozenset = _IN_ADDRESS) -> int:
     """Where the characters of an address that end before ``at`` begin, ``least`` at the earliest."""
-    while at > least and (text[at - 1] in _IN_ADDRESS or text[at - 1].isascii() and text[at - 1].isalnum()):
+    while at > least and (text[at - 1] in others or text[at - 1].isascii() and text[at - 1].isalnum()):
         at -= 1
     return at
 
@@ -157,10 +159,9 @@ def vote(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
 
 def proposals(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
     """Proposed spans that no base span overlaps, with votes and features."""
-    lower_at = "@" in text or " at " in text or "(at)" in text or "[at]" in text or " AT " in text or "(AT)" in text
     for kind, pattern in PROPOSALS.items():
         if kind == "email":
-            places = _address_matches(text) if lower_at else ()
+            places = _address_matches(text)
         else:
             places = (m.span() for m in pattern.finditer(text))
         for start, end in places:
@@ -168,11 +169,13 @@ def proposals(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str
                 yield kind, start, end, vote(kind, text, start, end)
 
 
-_AT = re.compile(r"[(\[ @]at[)\] ]|@", re.I)
+_AT = re.compile(r"[(\[]at[)\]]|\bat\b|@", re.I)
 
 
 def _address_matches(text: str) -> Iterator[tuple[int, int]]:
-    """Matches of the address proposal, looked for around each sign for "at" only."""
+    """Leftmost non-overlapping matches of the address proposal.  Every match holds a sign for
+    "at" with the run of address characters before it, so one try at the start of that run is
+    enough."""
     done = 0
     for sign in _AT.finditer(text):
         if sign.start() < done:
@@ -180,7 +183,7 @@ def _address_matches(text: str) -> Iterator[tuple[int, int]]:
         end = sign.start()
         if end > done and text[end - 1] == " ":
             end -= 1
-        left = _run_start(text, end, done)
+        left = _run_start(text, end, done, _IN_PROPOSAL)
         m = PROPOSALS["email"].match(text, left)
         if m and m.end() > sign.start():
             done = m.end()

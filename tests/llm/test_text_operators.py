@@ -74,6 +74,28 @@ def test_votes_train_a_classifier_that_adds_spans(spark):
     assert masked[30].text == texts[30]
 
 
+def test_address_proposals_equal_a_plain_search():
+    rng = random.Random(8)
+    parts = ["jane", ".", "doe", "[AT]", "[At]", "(aT)", "(at)", "[at)", " At ", " AT ", " at ", "at", "-at-", "@", " ", " ", "example", "[DOT]",
+             " Dot ", ".com", "(", "]", "\n", "é", "ı", "K", "_", "x"]
+    texts = ["Contact: jane.doe[AT]example[DOT]com", "jane(At)example.org", "jane At example dot org", "jane AT example DOT org"]
+    for text in texts:
+        assert [p[:3] for p in personal_data.proposals(text, [])] == [("email", text.index("jane"), len(text))], text
+    for text in ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(20_000)]:
+        want = [m.span() for m in personal_data.PROPOSALS["email"].finditer(text)]
+        assert [(s, e) for k, s, e, _ in personal_data.proposals(text, []) if k == "email"] == want, repr(text)
+
+
+def test_upper_and_mixed_case_addresses_are_found_and_masked(spark):
+    forms = ["[AT]", "[At]", "(At)", " At ", " AT "]
+    texts = [f"Contact: jane.doe{i}{forms[i % 5]}example[DOT]com" for i in range(40)] + [f"nothing{i} here" for i in range(20)]
+    rows = {r.doc_id: r for r in personal_data.personal_data(frame(spark, texts)).collect()}
+    assert all(rows[i].spans == f"email:9:{len(texts[i])}" for i in range(40)) and all(rows[i].spans == "" for i in range(40, 60))
+    seen = personal_data.found(frame(spark, texts))
+    masked = personal_data.masked(frame(spark, texts), personal_data.accepted_patterns(seen)).collect()
+    assert {r.text for r in masked if r.doc_id < 40} == {"Contact: [EMAIL]"}
+
+
 def test_personal_data_of_an_empty_table(spark):
     assert personal_data.personal_data(frame(spark, []).limit(0)).count() == 0
 
