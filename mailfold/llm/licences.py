@@ -8,9 +8,11 @@ shortest and use up the identifiers they match, so that a full licence is not re
 again as its own notice.
 
 Sentences end at one ``.``, ``!``, ``?``, ``;`` or ``:`` before white space, at an empty line,
-or at a line break; because licence texts are wrapped, sentences that span lines or colons
-are looked up as well.  Normalising lowers case and drops everything but letters and digits; a copyright
-notice loses its years and holders.
+or at a line break; because licence texts are wrapped and hold such signs inside their
+sentences ("v. 2.0", an address after an empty line), parts are looked up together with the
+next ones as long as they begin a known sentence.  Normalising lowers case and drops
+everything but letters and digits; a copyright notice loses its years and holders and ends
+with its part.
 
 Defined results: a null text counts as empty; a text without known sentences has an empty
 report; repeated rows get a result each; other columns are ignored.
@@ -126,9 +128,14 @@ _OTHER = re.compile(r"[\W_]+")
 _HOLDER = re.compile(r"^(?:copyright|c)\b.*$")
 
 
+def words_of(sentence: str) -> str:
+    """Lower-case words of a sentence."""
+    return _OTHER.sub(" ", sentence.lower()).strip()
+
+
 def normalised(sentence: str) -> str:
     """Lower-case words of a sentence; a copyright notice without its years and holders."""
-    plain = _OTHER.sub(" ", sentence.lower()).strip()
+    plain = words_of(sentence)
     if plain.startswith("copyright") and re.match(r"copyright (?:c )?(?:\d|by |the )", plain):
         return "copyright"
     return plain
@@ -141,33 +148,33 @@ BEGINNINGS = {" ".join(words[:n]) for words in map(str.split, KNOWN) for n in ra
 _LONGEST = max(len(s) for s in KNOWN) * 2
 
 
-def sentences(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, whether a mere line break or a colon ends it) of the sentences of ``text``."""
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the sentences of ``text``."""
     out, start = [], 0
     for m in _END.finditer(text):
-        out.append((start, m.end(), m[0] in "\n:"))
+        out.append((start, m.end()))
         start = m.end()
     if start < len(text):
-        out.append((start, len(text), False))
+        out.append((start, len(text)))
     return out
 
 
 def identified(text: str) -> list[tuple[int, int, str]]:
     """(start, end, identifier) of the known sentences of ``text``, in order.
 
-    A sentence may run over line breaks: parts joined by mere line breaks are looked up
-    together, and so are parts that a colon ends, as long as they begin a known sentence.
+    A sentence may run over several parts, whatever ends them: they are looked up together as
+    long as they begin a known sentence.  The longest known one counts.
     """
     parts, out, i = sentences(text), [], 0
     while i < len(parts):
-        start, end, open_ = parts[i]
-        plain = normalised(text[start:end]) if end - start <= _LONGEST else ""
-        hit, last, j = KNOWN.get(plain), i, i
-        while open_ and plain in BEGINNINGS and j + 1 < len(parts) and parts[j + 1][1] - start <= _LONGEST:
+        start, end = parts[i]
+        short = end - start <= _LONGEST
+        hit, last, j = KNOWN.get(normalised(text[start:end])) if short else None, i, i
+        plain = words_of(text[start:end]) if short else ""
+        while plain in BEGINNINGS and j + 1 < len(parts) and parts[j + 1][1] - start <= _LONGEST:
             j += 1
-            open_ = parts[j][2]
-            plain = normalised(text[start : parts[j][1]])
-            if plain in KNOWN:
+            before, plain = plain, words_of(text[start : parts[j][1]])
+            if plain != before and plain in KNOWN:
                 hit, last = KNOWN[plain], j
         if hit:
             out.append((start, parts[last][1], hit))

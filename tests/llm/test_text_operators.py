@@ -132,6 +132,59 @@ def test_licences_by_ordered_sentences(spark):
     assert texts[0][a:b].strip() == "Released under the MIT License."
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// "])
+def test_standard_headers(sign):
+    def names(text):
+        return [n for _, _, n in licences.identified("\n".join(sign + line for line in text.split("\n")))]
+
+    assert names(MPL) == ["mpl-header", "mpl-copy"]
+    assert names(APACHE)[:2] == ["apache-header", "apache-comply"] and names(APACHE)[-1] == "apache-as-is"
+    assert "apache-copy" in names(APACHE) and len(names(APACHE)) == 4
+    assert names("Copyright (c) 2031 Someone\nAll rights reserved.\n\nMIT License\n") == ["copyright", "reserved", "mit-title"]
+    assert names("Copyright 2031 Someone. All rights reserved.") == ["copyright", "reserved"]
+
+
+@pytest.mark.parametrize("width", [30, 60, 75, 10_000])
+def test_every_identifier_and_every_rule_fires_on_wrapped_text(width):
+    def lines(sentence):
+        out, line = [], ""
+        for word in (sentence + ("" if sentence[-1] in ".:" else ".")).split():
+            if line and len(line) + len(word) >= width:
+                out.append(line)
+                line = ""
+            line = f"{line} {word}".strip()
+        return "\n".join([*out, line])
+
+    for name, variants in licences.SENTENCES.items():
+        for variant in variants:
+            text = f"Some prose here.\n{lines(variant)}\n\nMore prose."
+            found = licences.identified(text)
+            assert [n for _, _, n in found] == [name], variant
+            assert text[found[0][0] : found[0][1]].strip() == lines(variant)
+    for licence, family, wanted in licences.RULES:
+        for gap in ("\n", "\n\n"):
+            found = licences.identified(gap.join(lines(licences.SENTENCES[n][0]) for n in wanted))
+            assert [n for _, _, n in found] == wanted
+            assert licences.recognised(found) == [(licence, family, 0)], wanted
+
+
 # --- language --------------------------------------------------------------------------
 
 VOCABULARY = {
