@@ -16,8 +16,9 @@ across components only, so no link that joins two groups is lost.  A group is a
 component of links and is named by its least document id.
 
 Defined results: texts without words (null, empty, punctuation) are copies of each other; a
-row without an id is in no group (null group, kept); rows of one id are in one group; of
-repeated rows the flag ``kept`` marks one.
+row without an id is in no group (null group, kept).  Texts are grouped, not ids: rows of one
+id with unlike texts are in groups of their own, and two groups whose least id is the same
+bear the same name.  The flag ``kept`` marks one row of each group, of repeated rows one.
 """
 
 from __future__ import annotations
@@ -105,21 +106,31 @@ def shingle_sets(texts: list[str], words: int) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
+_LINKS = "u bigint, version_u bigint, v bigint, version_v bigint"
+
+
 def verified(pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """Links (u, v) of the ``pairs`` (u, v, text_u, text_v) that are similar enough."""
+    """The ``pairs`` (u, version_u, v, version_v, text_u, text_v), without texts, that are similar enough."""
     def run(batch):
         u, v = shingle_sets(batch["text_u"], words), shingle_sets(batch["text_v"], words)
         good = [i for i, (a, b) in enumerate(zip(u, v)) if probability_jaccard(*a, *b) >= least - _SLACK]
-        yield {k: [batch[k][i] for i in good] for k in ("u", "v")}
+        yield {k: [batch[k][i] for i in good] for k in ("u", "version_u", "v", "version_v")}
+
+    return map_rows(pairs, _LINKS, run, u="u", version_u="version_u", v="v", version_v="version_v", text_u="text_u", text_v="text_v")
+
 
-    return map_rows(pairs, "u bigint, v bigint", run, u="u", v="v", text_u="text_u", text_v="text_v")
+def _components(links: DataFrame) -> DataFrame:
+    """(doc_id, version, component) of every linked class; a component is its least (doc_id, version)."""
+    node = lambda side: F.struct(F.col(side).alias("doc_id"), F.col(f"version_{side}").alias("version")).alias(side)
+    return components(links.select(node("u"), node("v"))).select("node.doc_id", "node.version", "component")
 
 
 def _across(words: int, least: float):
     """Links between different components among the rows of one or two blocks."""
     def run(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
         rows = a if b is None else pd.concat([a, b], ignore_index=True)
-        parts, ids = rows["component"].to_numpy(), rows["doc_id"].to_list()
+        parts = rows.groupby(["component_id", "component_version"]).ngroup().to_numpy()
+        names = list(zip(rows["doc_id"].to_list(), rows["version"].to_list()))
         differ = parts[: len(a), None] != parts[None, :]
         i, j = np.nonzero(np.triu(differ, 1) if b is None else differ & (np.arange(len(rows)) >= len(a)))
         bands, band = np.stack(rows["bands"].to_list()), int(rows["band"].iloc[0])
@@ -139,8 +150,8 @@ def _across(words: int, least: float):
             p, q = top(int(parts[x])), top(int(parts[y]))
             if p != q and probability_jaccard(*sets[x], *sets[y]) >= least - _SLACK:
                 leader[max(p, q)] = min(p, q)
-                found.append((ids[x], ids[y]))
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+                found.append((*names[x], *names[y]))
+        return pd.DataFrame(found, columns=["u", "version_u", "v", "version_v"], dtype="int64")
 
     return run
 
@@ -168,24 +179,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     pairs = stars.join(one("u").hint("merge"), ["u", "version_u"]).join(one("v").hint("merge"), ["v", "version_v"])
     links = settle(verified(pairs, words, least), "llm-links")
 
-    parts = components(links)
-    placed = classes.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = settle(placed.withColumn("component", F.coalesce("component", "doc_id")), "llm-placed")
+    # A class is named by its id and version, since one id may have several texts.
+    alone = F.coalesce("component", F.struct("doc_id", "version"))
+    placed = classes.join(_components(links), ["doc_id", "version"], "left")
+    placed = settle(placed.withColumn("component", alone), "llm-placed")
 
     # Buckets that still hold several components: compare across them.
     keyed = placed.select("doc_id", "version", "component", "bands", F.posexplode("bands").alias("band", "key"))
     mixed = keyed.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "key")
     rest = keyed.join(settle(mixed, "llm-mixed"), ["band", "key"]).join(texts, ["doc_id", "version"])
-    more = settle(in_block_pairs(rest, ["band", "key"], "doc_id", _across(words, least), "u bigint, v bigint"), "llm-more-links")
-    merged = components(links.unionByName(more))
+    rest = rest.withColumns({"component_id": F.col("component.doc_id"), "component_version": F.col("component.version")}).drop("component")
+    more = settle(in_block_pairs(rest, ["band", "key"], "version", _across(words, least), _LINKS), "llm-more-links")
+    merged = _components(links.unionByName(more))
 
-    final = classes.select("content", "doc_id").join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    final = settle(final.select("content", F.coalesce("component", "doc_id").alias("class_id")), "llm-groups")
+    final = classes.select("content", "doc_id", "version").join(merged, ["doc_id", "version"], "left")
+    final = settle(final.select("content", alone.alias("component")), "llm-groups")
     own = Window.partitionBy("doc_id", "version").orderBy("content")
-    first = Window.partitionBy("doc_id").orderBy("version", "again")
     out = named.select("doc_id", "version", "content").join(final, "content").withColumn("again", F.row_number().over(own))
-    out = out.withColumn("place", F.row_number().over(first))
-    out = out.select("doc_id", "version", "class_id", ((F.col("doc_id") == F.col("class_id")) & (F.col("place") == 1)).alias("kept"))
+    least_row = (F.col("doc_id") == F.col("component.doc_id")) & (F.col("version") == F.col("component.version"))
+    out = out.select("doc_id", "version", F.col("component.doc_id").alias("class_id"), (least_row & (F.col("again") == 1)).alias("kept"))
     nameless = sketched.where("doc_id IS NULL").select("doc_id", "version", F.lit(None).cast("bigint").alias("class_id"), F.lit(True).alias("kept"))
     return out.unionByName(nameless)
 

@@ -207,6 +207,27 @@ def test_repeated_rows_and_empty_tables(spark):
     assert probminhash.groups(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_ids_that_repeat_with_different_texts_lose_none(spark):
+    schema = "doc_id bigint, text string"
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    a, b, c, d = (" ".join(words[i:] + words[:i]) for i in (0, 3, 6, 9))
+    rows = []
+    for n, (p, q) in enumerate([(a + " p", b + " q"), (d + " q", c + " p")]):
+        for base, one, two in ((0, p, q), (100, f"{q} {q} x{n}", f"{p} {p} x{n}")):  # whichever text's hash is the less
+            base += 1000 * n
+            rows += [(base + 5, one), (base + 7, one), (base + 7, two), (base + 8, two.upper()), (base + 9, one), (base + 9, two), (base + 9, two)]
+    rows += [(5000, "only once " * 9), (5000, "another text altogether " * 9), (5000, "ONLY once " * 9)]
+    docs = spark.createDataFrame(rows, schema)
+    got = Counter((r.doc_id, r.class_id, r.kept) for r in probminhash.groups(docs).collect())
+    for base in (0, 100, 1000, 1100):
+        want = [(5, 5, True), (7, 5, False), (7, 7, True), (8, 7, False), (9, 5, False), (9, 7, False), (9, 7, False)]
+        want = Counter((base + i, base + g, k) for i, g, k in want)
+        assert {k: n for k, n in got.items() if base <= k[0] < base + 100} == want
+    assert got[5000, 5000, True] == 2 and got[5000, 5000, False] == 1
+    stay = {(r.doc_id, r.text.lower()) for r in probminhash.one_of_each(docs).collect()}
+    assert stay == {(i, t.lower()) for i, t in rows if i % 100 in (5, 7) and (i % 100 == 5 or (i - 2, t) not in rows) or i == 5000}
+
+
 # --- pipeline --------------------------------------------------------------------------
 
 
