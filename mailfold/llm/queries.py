@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailfold.llm import (
-    embedding_dedup, language, licences, line_dedup, merkle, packing, personal_data, probminhash, sentence_pieces, token_counts,
+    anchors, divergence, embedding_dedup, frames, language, licences, line_dedup, merkle, packing, personal_data, probminhash,
+    sentence_pieces, token_counts,
 )
+from mailfold.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +64,20 @@ def op10_probminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.groups(_table(spark, sf_dir, "documents")).drop("version")
 
 
+def op11_seekable_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = settle(frames.framed(_table(spark, sf_dir, "documents")), "llm-frames")
+    return frames.transformed(stored, texts=False).drop("output")
+
+
+def op12_anchored_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = anchors.without_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,10 +87,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_itq_embedding_dedup, op2_section_token_counts, op3_personal_data, op4_best_two_fit_packing, op5_licence_scan,
     op6_merkle_fingerprints, op7_language_by_compression, op8_winnowed_line_dedup, op9_sentence_pieces,
-    op10_probminhash_near_dedup, pipeline,
+    op10_probminhash_near_dedup, op11_seekable_fill_in_middle, op12_anchored_substring_dedup, op13_source_divergence, pipeline,
 )}
 
 ORACLES: dict[str, str] = {
     "op1_itq_embedding_dedup": embedding_dedup.oracle_sql(),
     "op8_winnowed_line_dedup": line_dedup.oracle_sql(),
+    "op11_seekable_fill_in_middle": frames.oracle_sql(),
+    "op12_anchored_substring_dedup": anchors.oracle_sql(),
+    "op13_source_divergence": divergence.oracle_sql(),
 }
