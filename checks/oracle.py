@@ -367,6 +367,15 @@ ORDER = "ORDER BY internal_ms, message_id"
 
 
 def rollup(source: str, group: str = "owner, thread_id", app_id: str = "thread_id") -> str:
+    return rolled(source, group, app_id, ORDER, ORDER, "role IS NOT NULL")
+
+
+RUNS, RECENT = "ORDER BY arrival, internal_ms, message_id", "ORDER BY internal_ms, arrival, message_id"
+
+
+def rolled(source: str, group: str, app_id: str, ORDER: str, RECENT: str, known: str) -> str:
+    """``ORDER`` is that in which messages were merged, ``RECENT`` that of their age; a note
+    warns unless ``known`` holds for a message of the record."""
     first_known = lambda c: f"first({c} {ORDER}) FILTER (WHERE {c} IS NOT NULL)"
     return f"""
 SELECT owner, {app_id} AS app_id, first(company {ORDER}) AS company,
@@ -374,14 +383,14 @@ SELECT owner, {app_id} AS app_id, first(company {ORDER}) AS company,
   coalesce(first(category {ORDER}) FILTER (WHERE category IN ('offer', 'rejected')),
            CASE WHEN bool_or(category = 'interview') THEN 'interview' ELSE 'applied' END) AS status,
   bool_or(category IN ('interview', 'offer')) AS reached_interview,
-  min(msg_date) AS date_applied, last(msg_date {ORDER}) AS last_activity, max(internal_ms) AS last_activity_ts,
-  CAST('Auto-detected from Gmail: ' || last(subject {ORDER}) ||
-    CASE WHEN {first_known('role')} IS NULL THEN {q(fixed.NOTE_WARNING)} ELSE '' END AS VARCHAR) AS notes, 'auto' AS notes_source,
-  {first_known('external_id')} AS external_id, last(detected_by {ORDER}) AS detected_by,
+  min(msg_date) AS date_applied, last(msg_date {RECENT}) AS last_activity, max(internal_ms) AS last_activity_ts,
+  CAST('Auto-detected from Gmail: ' || last(subject {RECENT}) ||
+    CASE WHEN NOT bool_or({known}) THEN {q(fixed.NOTE_WARNING)} ELSE '' END AS VARCHAR) AS notes, 'auto' AS notes_source,
+  {first_known('external_id')} AS external_id, last(detected_by {RECENT}) AS detected_by,
   {first_known('company_domain')} AS company_domain,
   NOT bool_or(is_confirmation) AS awaiting_application, bool_or(is_fast_apply) AS fast_apply,
   bool_or(is_confirmation AND NOT is_fast_apply) AS confirmed, first(thread_id {ORDER}) AS thread_id,
-  first(account {ORDER}) AS account, min(internal_ms) AS first_ms, TIMESTAMP '2002-01-01 00:00:00' AS created_at
+  first(account {ORDER}) AS account, first(internal_ms {ORDER}) AS first_ms, TIMESTAMP '2002-01-01 00:00:00' AS created_at
 FROM {source} GROUP BY {group}"""
 
 
@@ -397,10 +406,12 @@ VIEW = """owner, app_id, company, role, status, last_activity_ts, notes, externa
 
 # --- matching ------------------------------------------------------------------------------
 
-PAIRS = f"""
-{APPS},
+def pairs(apps: str, met_by: str) -> str:
+    """CTEs up to ``same_posting`` for the records ``apps`` (a CTE) and the mail that meets them."""
+    return f"""
+{apps},
 e AS (SELECT *, {words('company')} AS e_words, string_split_regex(company, '\\s+')[1] AS first_word,
-        {key('role')} AS m_title FROM mail),
+        {key('role')} AS m_title FROM mail WHERE {met_by}),
 r AS (SELECT *, CAST(substr(app_id, 2) AS BIGINT) AS seq, {words('company')} AS r_words,
         CASE WHEN role = 'Unknown Role' THEN '' ELSE {key('role')} END AS r_title FROM apps),
 met AS (SELECT e.owner, e.message_id, e.company AS e_company, e.company_domain AS e_domain, e.external_id AS e_req,
@@ -420,6 +431,10 @@ posting AS (SELECT *, bool_or(m_title = r_title) OVER (PARTITION BY owner, messa
 same_posting AS (SELECT * FROM posting WHERE (has_exact AND m_title = r_title) OR (NOT has_exact AND n_related = 1))"""
 
 
+PAIRS = pairs(APPS, "true")
+HALF = f"{EVENTS}, half AS (SELECT * FROM mail WHERE internal_ms % 2 = 0), apps AS ({rollup('half')})"
+HELD_OUT = pairs(HALF, "internal_ms % 2 = 1")
+
 def counted(condition: str) -> str:
     return f"""WITH {PAIRS} SELECT owner, message_id, count(*) AS n_candidates, first(app_id ORDER BY seq) AS first_app_id
 FROM met WHERE {condition} GROUP BY owner, message_id"""
@@ -452,7 +467,7 @@ RECORD = ("STRUCT(app_id VARCHAR, company VARCHAR, words VARCHAR[], title VARCHA
           "awaiting BOOLEAN, fast BOOLEAN, confirmed BOOLEAN)")
 
 
-def fold(source: str) -> str:
+def fold(source: str, ORDER: str = ORDER) -> str:
     """CTEs ``turn`` and ``fold``: one message of every owner a round, in order of arrival.
 
     The state of an owner is the list of records so far; no blocking, so all records are
@@ -603,11 +618,15 @@ oracle("requisitions_matched", f"""WITH {PAIRS} SELECT owner, message_id,
        ELSE count(*) FILTER (WHERE r_req IS NULL) END AS n_eligible FROM cand GROUP BY owner, message_id""")
 oracle("postings_matched", f"""WITH {PAIRS} SELECT owner, message_id, count(*) AS n_postings, CAST(bool_or(has_exact) AS BIGINT) AS is_exact,
   first(app_id ORDER BY priority, seq) AS first_app_id FROM same_posting GROUP BY owner, message_id""")
-oracle("unique_variants", f"WITH {PAIRS} SELECT owner, message_id, app_id AS first_app_id FROM same_posting WHERE NOT has_exact")
-oracle("nearest_paired", f"""WITH {PAIRS}, near AS (SELECT *, abs(msg_date - date_applied) AS gap FROM same_posting
-  WHERE is_confirmation AND NOT awaiting_application AND NOT (CASE WHEN is_fast_apply THEN fast_apply ELSE confirmed END))
-SELECT owner, message_id, first(app_id ORDER BY gap, seq) AS app_id, CAST(min(gap) AS BIGINT) AS gap_days
-FROM near WHERE gap <= 4 GROUP BY owner, message_id""")
+oracle("unique_variants", f"WITH {HELD_OUT} SELECT owner, message_id, app_id AS first_app_id FROM same_posting WHERE NOT has_exact")
+oracle("nearest_paired", f"""WITH {HELD_OUT}, tiers AS (SELECT *, 0 AS tier FROM same_posting
+  UNION ALL SELECT * EXCLUDE (priority), priority, NULL, NULL, 1 FROM cand WHERE m_title <> '' AND r_role = 'Unknown Role'
+  UNION ALL SELECT * EXCLUDE (priority), priority, NULL, NULL, 0 FROM cand WHERE e_role IS NULL),
+near AS (SELECT *, abs(msg_date - date_applied) AS gap FROM tiers WHERE is_confirmation
+  AND NOT (CASE WHEN is_fast_apply THEN fast_apply ELSE confirmed END)
+  AND CASE WHEN awaiting_application THEN msg_date <= date_applied ELSE abs(msg_date - date_applied) <= 4 END)
+SELECT owner, message_id, first(app_id ORDER BY tier, gap, seq) AS app_id, CAST(first(gap ORDER BY tier, gap, seq) AS BIGINT) AS gap_days
+FROM near GROUP BY owner, message_id""")
 oracle("latest_asof", f"WITH {PAIRS}, {LATEST} SELECT owner, message_id, app_id, {day('date_applied')} AS date_applied FROM latest")
 oracle("oldest_asof", f"""WITH {PAIRS} SELECT owner, message_id, first(app_id ORDER BY date_applied, seq) AS app_id FROM cand
 WHERE NOT is_confirmation AND e_role IS NULL AND (date_applied <= msg_date OR awaiting_application) GROUP BY owner, message_id""")
@@ -682,7 +701,7 @@ oracle("message_links", f"""WITH {DECORATED} SELECT s.owner, s.app_id, {day('msg
   {q(fixed.MESSAGE_URL)} || coalesce('?authuser=' || url_encode(s.account), '') || '#all/' || message_id AS link
 FROM mail m JOIN shown s ON s.app_id = m.thread_id AND s.owner = m.owner""")
 oracle("changed_applications", f"""WITH {DECORATED}, old AS ({shapes.earlier('shown', 'duckdb')})
-SELECT s.app_id FROM shown s LEFT JOIN old ON old.app_id = s.app_id WHERE s.updated_at IS DISTINCT FROM old.updated_at""")
+SELECT s.owner, s.app_id FROM shown s LEFT JOIN old ON old.app_id = s.app_id AND old.owner = s.owner WHERE s.updated_at IS DISTINCT FROM old.updated_at""")
 oracle("refs_by_date", f"""WITH {EVENTS} SELECT thread_id AS app_id,
   string_agg({ENTRY}, ' ; ' ORDER BY strftime(msg_date, '%Y-%m-%d'), internal_ms DESC, message_id DESC) AS emails FROM mail GROUP BY owner, thread_id""")
 
@@ -711,6 +730,16 @@ LOOSE = (
 oracle("refs_sanitized", f"""WITH {CELLS}, l AS (SELECT o_orderkey, {LOOSE} AS refs FROM cells),
 k AS (SELECT o_orderkey, list_filter(refs, lambda s, i: list_position(list_transform(refs, lambda t: t.i), s.i) = i) AS refs FROM l)
 SELECT o_orderkey, {encoded('refs')} AS encoded FROM k""")
+oracle("refs_edited", f"""WITH {EVENTS}, asked AS (SELECT 'u' || o_custkey AS owner, 't' || o_orderkey AS app_id,
+    {decoded(shapes.RAW_REFS)} AS refs FROM orders WHERE o_orderkey % 3 = 0),
+once AS (SELECT owner, app_id, list_filter(refs, lambda s, i: list_position(list_transform(refs, lambda t: t.i), s.i) = i) AS refs FROM asked)
+SELECT owner, thread_id AS app_id, internal_ms AS position, message_id, category FROM mail m
+WHERE NOT EXISTS (SELECT 1 FROM once o WHERE o.owner = m.owner AND o.app_id = m.thread_id)
+UNION ALL SELECT owner, app_id, CAST(unnest(range(len(refs))) AS BIGINT), unnest(refs).i, unnest(refs).c FROM once o
+WHERE EXISTS (SELECT 1 FROM mail m WHERE o.owner = m.owner AND o.app_id = m.thread_id)""")
+oracle("model_answers", f"""WITH {MESSAGES}, {hit_ctes()} SELECT owner, message_id,
+  '{{"category": "applied", "seen": ' || length(subject) || ' ' || length(body) || '}} ' || sender AS raw_text FROM hits
+WHERE noise_reason IS NULL AND (code IS NULL OR nullif(h_role, '') IS NULL)""")
 NEW = f"n AS ({shapes.new_rows('orders', 'duckdb')}), bad AS (SELECT * FROM n WHERE coalesce(company, '') = '' OR coalesce(role, '') = ''), good AS (SELECT * FROM n WHERE coalesce(company, '') <> '' AND coalesce(role, '') <> '')"
 oracle("applications_prepared", f"""WITH {NEW}, g AS (SELECT *, reached_interview OR coalesce(status IN ('interview', 'offer'), false) AS reached,
   try_cast(nullif(last_activity, '') AS DATE) AS act FROM good)
@@ -791,4 +820,70 @@ SELECT o_orderkey, CASE WHEN t = 0 THEN '0s' ELSE trim(concat(CASE WHEN t >= 360
 oracle("message_ids_extracted", f"""WITH p AS (SELECT o_orderkey, trim({shapes.PASTED_LINK}) AS s FROM orders),
 c AS (SELECT o_orderkey, CASE WHEN contains(s, '#') THEN split_part(list_last(string_split(list_last(string_split(s, '#')), '/')), '?', 1) ELSE s END AS c FROM p)
 SELECT o_orderkey, CASE WHEN regexp_matches(c, '^[A-Za-z0-9_-]+$') THEN c END AS message_id FROM c""")
-oracle("ledger_after_sync", f"WITH {MESSAGES} SELECT owner, message_id, thread_id FROM messages")
+
+# --- incremental -----------------------------------------------------------------------------
+
+#: Messages as a dump delivers them: header, receipt time and body are those of the dump.
+DELIVERED = f"""derived AS ({derived_sql('messages')}),
+dump AS (SELECT *, {shapes.PLAIN_TEXT} AS plain, {shapes.HTML_TEXT} AS html FROM derived),
+chosen AS (SELECT *, {select_body('plain', 'html')} AS picked, {strip_html('html')} AS from_html FROM dump),
+forms AS (SELECT *, {clean_card('picked')} AS card, {clean_body('picked')} AS flat,
+            {clean_body("coalesce(nullif(from_html, ''), picked)")} AS rich FROM chosen),
+delivered AS MATERIALIZED (SELECT owner, account, message_id, thread_id, CASE WHEN internal_ms % 11 = 0 THEN '' ELSE subject END AS subject, sender,
+  CASE WHEN contains(sender, '{fixed.BOARD_A_SENDER}') THEN card
+    WHEN contains(sender, '{fixed.BOARD_B_SENDER}') THEN CASE WHEN {ext('rich', fixed.BOARD_B_SENT_TO)} IS NOT NULL
+      THEN 'Employer: ' || {strip(ext('rich', fixed.BOARD_B_SENT_TO))} || chr(10) || chr(10) || rich ELSE rich END
+    ELSE flat END AS body, internal_ms AS own_ms, (@SENT@) AS internal_ms,
+  CAST(make_timestamp((@SENT@) * 1000) AS DATE) AS msg_date FROM forms)"""
+
+
+def delivered(as_of_ms: int) -> str:
+    sent = SENT.replace("1009843200000", str(as_of_ms))
+    return DELIVERED.replace("@SENT@", sent)
+
+
+def runs(arrival: str, as_of_ms: int = 1009843200000, which: str = "true") -> str:
+    """CTEs up to ``ran`` (classified mail with the run that takes it) and ``apps``: the fold, run after run."""
+    return f"""{delivered(as_of_ms)},
+messages AS MATERIALIZED (SELECT DISTINCT * EXCLUDE (own_ms) FROM delivered WHERE {which}), {OUTPUTS}, {event_ctes()},
+ran AS MATERIALIZED (SELECT c.* REPLACE (CAST(is_confirmation AS BOOLEAN) AS is_confirmation, CAST(is_fast_apply AS BOOLEAN) AS is_fast_apply),
+  {arrival} AS arrival FROM classified c JOIN (SELECT DISTINCT owner, message_id, own_ms FROM delivered) d USING (owner, message_id)),
+merges AS (SELECT * FROM ran WHERE kind = 'merge'),
+{fold('merges', RUNS)},
+placed AS (SELECT m.*, f.app_id, f.is_new FROM merges m JOIN fold f ON f.owner = m.owner AND f.message_id = m.message_id AND f.n > 0),
+joined AS (SELECT *, last_value(arrival) OVER (PARTITION BY owner, app_id {RECENT}
+             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS noted FROM placed),
+apps AS ({rolled('joined', 'owner, app_id', 'app_id', RUNS, RECENT, 'role IS NOT NULL AND arrival <= noted')})"""
+
+
+BY_YEAR = "CASE WHEN own_ms % 5 = 0 THEN 2 WHEN year(make_timestamp(own_ms * 1000)) < 1997 THEN 0 WHEN year(make_timestamp(own_ms * 1000)) < 1999 THEN 1 ELSE 2 END"
+SYNCED = runs(BY_YEAR)
+oracle("ledger_after_sync", f"WITH {MESSAGES} SELECT DISTINCT owner, message_id, thread_id FROM messages")
+oracle("applications_after_sync", f"WITH RECURSIVE {SYNCED} SELECT {VIEW} FROM apps")
+oracle("applications_after_replay", ORACLES["applications_after_sync"])
+oracle("sync_totals", f"""WITH RECURSIVE {SYNCED},
+run AS (SELECT arrival AS version, count(*) AS processed, count(*) FILTER (WHERE kind = 'skip') AS skipped FROM ran GROUP BY arrival),
+came AS (SELECT {BY_YEAR} AS version, count(*) AS arrived FROM delivered GROUP BY 1),
+did AS (SELECT arrival AS version, count(*) FILTER (WHERE is_new) AS added, count(*) FILTER (WHERE NOT is_new) AS updated FROM joined GROUP BY arrival)
+SELECT CAST(version AS BIGINT) AS version, arrived, CAST(0 AS BIGINT) AS unreadable, processed, added, updated, skipped, CAST(0 AS BIGINT) AS failed,
+  CAST(sum(processed) OVER w AS BIGINT) AS total_processed, CAST(sum(added) OVER w AS BIGINT) AS total_added,
+  CAST(sum(updated) OVER w AS BIGINT) AS total_updated
+FROM run JOIN did USING (version) JOIN came USING (version) WINDOW w AS (ORDER BY version)""")
+oracle("blocks_after_sync", f"""WITH RECURSIVE {delivered(1009843200000)}, messages AS MATERIALIZED (SELECT DISTINCT * EXCLUDE (own_ms) FROM delivered), {OUTPUTS}, {event_ctes()},
+{BLOCKS.split("RECURSIVE", 1)[1].replace(EVENTS + ",", "").replace("FROM mail", "FROM (SELECT * FROM classified WHERE kind = 'merge') k")},
+linked AS (SELECT owner, component FROM components GROUP BY owner, component HAVING count(*) > 1)
+SELECT owner, node, component FROM components JOIN linked USING (owner, component)""")
+WINDOW_MS = 962323200000  # 2000-06-30
+CANDIDATE = f"""own_ms % 23 <> 0 AND {has("subject || chr(10) || body", phrases(fixed.WANTED_PHRASES))} AND NOT {has('subject', phrases(fixed.EXCLUDED_SUBJECTS))}
+  AND NOT {has("subject || chr(10) || body", phrases(fixed.EXCLUDED_ANYWHERE))} AND NOT contains(lower(sender), lower(account))
+  AND {' AND '.join(f"NOT contains(lower(sender), '{a}')" for a in fixed.EXCLUDED_SENDERS)}"""
+WIDE = f"msg_date >= DATE '2000-06-30' - 180 AND {CANDIDATE}"
+WIDENED = runs("CASE WHEN msg_date >= DATE '2000-06-30' - 30 THEN 0 ELSE 1 END", WINDOW_MS, WIDE)
+oracle("ledger_after_widening", f"WITH RECURSIVE {WIDENED} SELECT owner, message_id, thread_id, category AS classified_as FROM ran")
+oracle("applications_after_widening", f"WITH RECURSIVE {WIDENED} SELECT {VIEW} FROM apps")
+oracle("applications_rebuilt", f"WITH RECURSIVE {runs('0', WINDOW_MS, WIDE)} SELECT {VIEW} FROM apps")
+oracle("unreadable_mail_retried", f"""WITH {MESSAGES}, m AS (SELECT DISTINCT owner, message_id, (length(message_id) + length(thread_id)) % 5 AS pick FROM messages WHERE internal_ms % 5 <> 0),
+a AS (SELECT count(*) FILTER (WHERE (length(message_id) + length(thread_id)) % 5 < 2) AS broken FROM messages WHERE internal_ms % 5 <> 0)
+SELECT CAST(version AS BIGINT) AS version, count(*) FILTER (WHERE (pick < 2) = (version = 1)) AS processed,
+  CASE WHEN version = 0 THEN (SELECT broken FROM a) ELSE 0 END AS failed,
+  (SELECT broken FROM a) AS quarantined, (SELECT count(*) FROM m) AS in_ledger FROM m, (VALUES (0), (1)) v(version) GROUP BY version""")

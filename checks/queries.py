@@ -18,7 +18,8 @@ from mailfold.sources import messages as message_source
 from mailfold.sources import sheets
 from mailfold.sources.bridge import derive
 from mailfold.sources.snapshots import Board
-from mailfold.streaming.sync import incremental_sync
+from mailfold.streaming.landing import Landing
+from mailfold.streaming.sync import incremental_sync, progress, rebuilt, running_totals, sync_batch, sync_landed
 
 AS_OF = dt.datetime(2002, 1, 1)
 SCAN_AS_OF = dt.date(1999, 6, 30)
@@ -161,7 +162,7 @@ def board_reset(spark, sf_dir):
     board = Board(spark, scratch_path(spark, "board"))
     board.commit(apps, ref_rows, sample_ledger(spark, sf_dir), at=AS_OF)
     kept = board.applications().count()
-    lost = board.reset()
+    lost = board.reset(AS_OF)
     rows = [(kept, lost["applications"], lost["messages"])]
     left = board.applications().agg(F.count("*").alias("applications_left"))
     return left.select(
@@ -371,6 +372,14 @@ def both_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return events, settle(records.withColumn("seq", F.regexp_replace("app_id", "^t", "").cast("bigint")), "match-records")
 
 
+def held_out_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records of one half of the mail, to be met by the other half: open slots and waiting records among them."""
+    mail = settle(bridge_events(spark, sf_dir), "match-events")
+    half = F.col("internal_ms") % 2 == 0
+    records = rollup.rollup_applications(by_thread(mail.filter(half)), mail.filter(half), None, AS_OF)
+    return mail.filter(~half), settle(records.withColumn("seq", F.regexp_replace("app_id", "^t", "").cast("bigint")), "match-records")
+
+
 def pair_counts(events: DataFrame, records: DataFrame, pairs: DataFrame) -> DataFrame:
     return match.candidate_counts(events, records, pairs)
 
@@ -411,13 +420,13 @@ def postings_matched(spark, sf_dir):
 
 @query
 def unique_variants(spark, sf_dir):
-    e, r = both_sides(spark, sf_dir)
+    e, r = held_out_sides(spark, sf_dir)
     return match.exactly_one(e, r).select("owner", "message_id", "first_app_id")
 
 
 @query
 def nearest_paired(spark, sf_dir):
-    return match.pair_nearest(*both_sides(spark, sf_dir))
+    return match.pair_nearest(*held_out_sides(spark, sf_dir))
 
 
 @query
@@ -523,10 +532,8 @@ def statuses_forward(spark, sf_dir):
 
 @query
 def statuses_stepwise(spark, sf_dir):
-    ordered = user_stages(spark, sf_dir).groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct("event_id", "stage"))).alias("steps")
-    )
-    return ordered.select("user_id", rollup.step_status(F.col("steps.stage")).alias("status"))
+    steps = rollup.step_statuses(user_stages(spark, sf_dir), ["user_id"], "stage", "event_id")
+    return steps.groupBy("user_id").agg(F.max_by("status", "event_id").alias("status"))
 
 
 @query
@@ -717,7 +724,7 @@ def edit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda e: F.coalesce(e["value"], F.lit("")) != shapes.ABSENT,
     )
     return flat.select(
-        "app_id", F.map_from_entries(entries).alias("set_fields"),
+        "owner", "app_id", F.map_from_entries(entries).alias("set_fields"),
         F.lit(None).cast(ref_functions.REFS_TYPE).alias("emails"),
     )
 
@@ -737,6 +744,28 @@ def edits_refused(spark, sf_dir):
     return refused.select("app_id", "reason")
 
 
+@query
+def refs_edited(spark, sf_dir):
+    """References replaced where an edit carries some, an empty list among them."""
+    lists = source(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").selectExpr(
+        "concat('u', o_custkey) AS owner", "concat('t', o_orderkey) AS app_id", "CAST(NULL AS MAP<STRING, STRING>) AS set_fields",
+        f"{shapes.RAW_REFS} AS cell")
+    asked = lists.withColumn("emails", ref_functions.decode_refs(F.col("cell"))).drop("cell")
+    out = edits.apply_ref_edits(thread_refs(spark, sf_dir), asked, thread_applications(spark, sf_dir))
+    return out.select("owner", "app_id", "position", "message_id", "category")
+
+
+@query
+def model_answers(spark, sf_dir):
+    """A user's model called once for every message that needs one; its raw texts."""
+
+    def measure(asked):
+        return (f'{{"category": "applied", "seen": {len(subject)} {len(body)}}} {sender}' for sender, subject, body in asked)
+
+    wanted = classify.needs_model(classify.extract_templates(derive(spark, sf_dir, "messages")))
+    return classify.run_model(wanted, measure)
+
+
 @query
 def applications_deleted(spark, sf_dir):
     ids = source(spark, sf_dir, "orders").selectExpr(f"{shapes.DELETED_ID} AS app_id").filter("app_id IS NOT NULL")
@@ -828,18 +857,48 @@ def message_ids_extracted(spark, sf_dir):
 # --- incremental -------------------------------------------------------------------------
 
 
-def synced_board(spark: SparkSession, sf_dir: str) -> Board:
-    """Dumps cut into three arrivals by receipt time and streamed into an empty board."""
+ARRIVALS = 3
+WINDOW_AS_OF = dt.datetime(2000, 6, 30)
+
+
+def kept_board(make: Callable[[SparkSession, str], Board]) -> Callable[[SparkSession, str], Board]:
+    """Boards that several queries look at are made once a session and table folder."""
+    made: dict[tuple[str, str], Board] = {}
+
+    def board(spark: SparkSession, sf_dir: str) -> Board:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in made:
+            made[key] = make(spark, sf_dir)
+        return made[key]
+
+    return board
+
+
+def dumps_by_arrival(spark: SparkSession, sf_dir: str) -> str:
+    """Dumps cut into three arrivals by receipt time; mail without one comes last."""
     root = scratch_path(spark, "synced")
     raw = raw_messages(spark, sf_dir)
     year = F.year(F.timestamp_millis(F.col("internal_date").cast("bigint")))
-    arrival = F.when(year < 1997, 0).when(year < 1999, 1).otherwise(2)  # mail without a receipt time comes last
-    raw.withColumn("arrival", arrival).repartition("arrival").write.partitionBy("arrival").json(f"{root}/in")
+    arrival = F.when(year < 1997, 0).when(year < 1999, 1).otherwise(ARRIVALS - 1)
+    spread = F.pmod(F.xxhash64("id"), F.lit(8))
+    raw.withColumn("arrival", arrival).repartition("arrival", spread).write.partitionBy("arrival").json(f"{root}/in")
+    return root
+
+
+def run_stream(board: Board, root: str, arrival: int, outputs: DataFrame):
+    stream = message_source.stream_messages(board.spark, f"{root}/in/arrival={arrival}")
+    query = incremental_sync(board, stream, f"{root}/cp{arrival}", lambda: AS_OF, lambda _: outputs)
+    query.awaitTermination()
+    return query
+
+
+@kept_board
+def synced_board(spark: SparkSession, sf_dir: str) -> Board:
+    """Three arrivals streamed into an empty board; progress of the streams as ``board.seen``."""
+    root = dumps_by_arrival(spark, sf_dir)
     board = Board(spark, f"{root}/board")
     outputs = derive(spark, sf_dir, "outputs")
-    for arrival in range(3):
-        stream = message_source.stream_messages(spark, f"{root}/in/arrival={arrival}")
-        incremental_sync(board, stream, f"{root}/cp{arrival}", lambda: AS_OF, lambda _: outputs).awaitTermination()
+    board.seen = [p for k in range(ARRIVALS) for p in progress(run_stream(board, root, k, outputs))]
     return board
 
 
@@ -851,3 +910,98 @@ def ledger_after_sync(spark, sf_dir):
 @query
 def applications_after_sync(spark, sf_dir):
     return application_view(synced_board(spark, sf_dir).applications())
+
+
+@query
+def blocks_after_sync(spark, sf_dir):
+    """Labels merged run by run, of names and domains that are linked to others."""
+    labels = synced_board(spark, sf_dir).blocks()
+    linked = labels.groupBy("owner", "component").agg(F.count("*").alias("n")).filter("n > 1")
+    return labels.join(linked, ["owner", "component"]).select("owner", "node", "component")
+
+
+@query
+def sync_totals(spark, sf_dir):
+    """Per run: rows that arrived as the stream saw them, what the run did, and totals so far."""
+    board = synced_board(spark, sf_dir)
+    seen = spark.createDataFrame([(k, p["arrived"], p["unreadable"]) for k, p in enumerate(board.seen)],
+                                 "version BIGINT, arrived BIGINT, unreadable BIGINT")
+    totals = running_totals(board)
+    return totals.join(seen, "version").select("version", "arrived", "unreadable", "processed", "added", "updated", "skipped", "failed",
+                                               "total_processed", "total_added", "total_updated")
+
+
+class CutBoard(Board):
+    """A board whose next commit can end between writing its rows and making them visible."""
+
+    cut = False
+
+    def _publish(self, *args):
+        if self.cut:
+            self.cut = False
+            raise InterruptedError("cut between the two writes")
+        super()._publish(*args)
+
+
+@query
+def applications_after_replay(spark, sf_dir):
+    """The second of three batches is cut short, replayed, and delivered once more after it was committed."""
+    root = dumps_by_arrival(spark, sf_dir)
+    outputs = derive(spark, sf_dir, "outputs")
+    board = CutBoard(spark, f"{root}/board")
+    for k in range(ARRIVALS):
+        raw = message_source.read_messages(spark, f"{root}/in/arrival={k}")
+        board.cut = k == 1
+        for _ in range(3 if k == 1 else 1):
+            try:
+                sync_batch(board, raw, AS_OF, None, outputs, batch=f"arrival {k}", select=False)
+            except InterruptedError:
+                continue
+    return application_view(board.applications())
+
+
+@kept_board
+def widened_board(spark: SparkSession, sf_dir: str) -> Board:
+    """All mail lands at once; one run over 30 days, then one over 180 with no new mail."""
+    path = scratch_path(spark, "dumps")
+    raw_messages(spark, sf_dir).write.mode("overwrite").json(path)
+    board = Board(spark, scratch_path(spark, "widened"))
+    outputs = derive(spark, sf_dir, "outputs")
+    sync_batch(board, message_source.read_messages(spark, path), WINDOW_AS_OF, 30, outputs, batch="narrow")
+    sync_landed(board, WINDOW_AS_OF, 180, outputs, batch="wide")
+    return board
+
+
+@query
+def ledger_after_widening(spark, sf_dir):
+    return widened_board(spark, sf_dir).ledger().select("owner", "message_id", "thread_id", F.col("classified_as"))
+
+
+@query
+def applications_after_widening(spark, sf_dir):
+    return application_view(widened_board(spark, sf_dir).applications())
+
+
+@query
+def applications_rebuilt(spark, sf_dir):
+    """The canonical result over the same window as the widened board."""
+    board = widened_board(spark, sf_dir)
+    return application_view(rebuilt(board, WINDOW_AS_OF, 180, derive(spark, sf_dir, "outputs")).applications)
+
+
+@query
+def unreadable_mail_retried(spark, sf_dir):
+    """Broken lines and receipt times that are no numbers, then the same mail repaired; counters of both runs."""
+    root = scratch_path(spark, "repaired")
+    raw = raw_messages(spark, sf_dir).filter(F.col("internal_date").isNotNull())
+    pick = F.pmod(F.length("id") + F.length("thread_id"), F.lit(5))
+    damaged = raw.withColumn("internal_date", F.when(pick == 0, F.lit("yesterday")).otherwise(F.col("internal_date")))
+    line = F.to_json(F.struct(*raw.columns))
+    damaged.select(F.when(pick == 1, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(f"{root}/first")
+    raw.filter(pick < 2).write.json(f"{root}/second")
+    board = Board(spark, f"{root}/board")
+    for name in ("first", "second"):
+        sync_batch(board, message_source.read_messages(spark, f"{root}/{name}"), AS_OF, batch=name, select=False)
+    held = Landing(spark, board.root).quarantine().agg(F.count("*").alias("quarantined"))
+    in_ledger = board.ledger().agg(F.count("*").alias("in_ledger"))
+    return board.counters().select("version", "processed", "failed").crossJoin(held).crossJoin(in_ledger)

@@ -58,7 +58,7 @@ REQ_SUBJECT = cases(
     "concat(subject, ' REQ907155')",
     "concat(subject, ' (ID: 5518046)')",
     "concat(subject, ' call 212-555-0100')",
-    "concat(subject, ' Level 3 req 4')",
+    "concat(subject, ' Grade 8 req 5')",
     otherwise="subject",
 )
 
@@ -127,7 +127,7 @@ RAW_REQ = cases(
     "concat('REQ', 907000 + o_orderkey)",
     "concat('R_', 514000 + o_orderkey)",
     "'2031'",
-    "'prose words 24680 here'",
+    "'see desk 36912 upstairs'",
     "concat(' job id - ref: ', 90000 + o_orderkey, 'BR ')",
     "concat('Requisition#', 40000 + o_orderkey)",
     "'HOFFICE-EU-Hybrid'",
@@ -206,7 +206,7 @@ FROM (SELECT *, CAST(substr(app_id, 2) AS BIGINT) AS t FROM {apps}) numbered"""
 def earlier(apps: str, dialect: str) -> str:
     """An older snapshot: offers are missing and interviewed applications had another stamp."""
     return f"""
-SELECT app_id, CASE WHEN reached_interview THEN created_at ELSE updated_at END AS updated_at
+SELECT owner, app_id, CASE WHEN reached_interview THEN created_at ELSE updated_at END AS updated_at
 FROM {apps} WHERE status <> 'offer'"""
 
 
@@ -230,7 +230,7 @@ FROM {orders}"""
 def flat_edits(orders: str, dialect: str) -> str:
     text = TEXT[dialect]
     return f"""
-SELECT CAST(CASE WHEN o_orderkey % 10 = 9 THEN concat('gone', o_orderkey) ELSE concat('t', o_orderkey) END AS {text}) AS app_id,
+SELECT concat('u', CAST(o_custkey AS {text})) AS owner, CAST(CASE WHEN o_orderkey % 10 = 9 THEN concat('gone', o_orderkey) ELSE concat('t', o_orderkey) END AS {text}) AS app_id,
   CAST(CASE o_orderkey % 8 WHEN 0 THEN 'interview' WHEN 1 THEN 'archived' WHEN 2 THEN 'rejected' WHEN 3 THEN 'offer' ELSE '{ABSENT}' END AS {text}) AS e_status,
   CAST(CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'party' WHEN 2 THEN 'final' ELSE '{ABSENT}' END AS {text}) AS e_interview_step,
   CAST(CASE o_orderkey % 4 WHEN 0 THEN 'my note' WHEN 1 THEN NULL ELSE '{ABSENT}' END AS {text}) AS e_notes,

@@ -7,11 +7,14 @@ share the core name, so connected components lose nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailfold.functions.identity import core_name, name_words
-from mailfold.session import settle_measured
+from mailfold.operators.titles import containing_titles
+from mailfold.session import settle, settle_measured
 
 
 def node_keys() -> dict[str, Column]:
@@ -64,7 +67,7 @@ def connected_components(edges: DataFrame, label: str = "blocks") -> DataFrame:
     content = F.sum(F.xxhash64("owner", "u", "v").cast("decimal(38,0)"))
     directed = edges.select("owner", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     current, seen = settle_measured(directed.filter("u <> v").distinct(), label, n=rows, h=content)
-    while True:
+    while seen[0]:
         current, now = settle_measured(step(current), label, n=rows, h=content)
         if now == seen:
             break
@@ -96,6 +99,39 @@ def employer_blocks(events: DataFrame, records: DataFrame | None = None) -> Data
     return connected_components(linked)
 
 
+def merged_labels(labels: DataFrame, rows: DataFrame) -> DataFrame:
+    """(owner, node, component) of the components that the employers of ``rows`` touch.
+
+    ``labels`` are the known ones.  A row's name and domain link the components these have so
+    far, so components are found over touched labels only, and the nodes of a component that
+    is merged into another get its label.  A node without label is its own; a component is
+    named after its least node, as if all rows had been labelled at once.
+    """
+    pairs = rows.select("owner", "company", "company_domain").distinct().withColumns(node_keys()).select(
+        "owner", F.coalesce("name_node", "domain_node").alias("u"), F.coalesce("domain_node", "name_node").alias("v")
+    ).filter(F.col("u").isNotNull()).distinct()
+    known = labels.select(F.col("owner").alias("_owner"), F.col("node").alias("_node"), F.col("component").alias("_label"))
+    for end in ("u", "v"):
+        on = (F.col("owner") == F.col("_owner")) & (F.col(end) == F.col("_node"))
+        pairs = pairs.join(known, on, "left").withColumn(f"{end}_label", F.coalesce("_label", end)).drop("_owner", "_node", "_label")
+    pairs = settle(pairs, "touched-employers")
+    joined = settle(connected_components(pairs.select("owner", F.col("u_label").alias("u"), F.col("v_label").alias("v"))), "merged-labels")
+    now = joined.select("owner", F.col("node").alias("label"), F.col("component").alias("now"))
+    old = labels.withColumnRenamed("component", "label").join(now, ["owner", "label"])
+    new = reduce(DataFrame.unionByName, [
+        pairs.select("owner", F.col(end).alias("node"), F.col(f"{end}_label").alias("label")) for end in ("u", "v")
+    ]).join(now, ["owner", "label"])
+    return old.select("owner", "node", "now").unionByName(new.select("owner", "node", "now")).distinct().withColumnRenamed("now", "component")
+
+
+def in_blocks(records: DataFrame, labels: DataFrame) -> DataFrame:
+    """The records whose employer is one of the labelled nodes."""
+    nodes = labels.select(F.col("owner").alias("_owner"), F.col("node").alias("_known")).distinct()
+    keyed = records.withColumns(node_keys()).withColumn("_node", F.coalesce("name_node", "domain_node"))
+    on = (F.col("owner") == F.col("_owner")) & (F.col("_node") == F.col("_known"))
+    return keyed.join(nodes, on, "left_semi").drop("_node", "name_node", "domain_node")
+
+
 def with_blocks(table: DataFrame, components: DataFrame, own_id: str) -> DataFrame:
     """Adds ``block``: the component of the row's name or domain, else the row itself."""
     keyed = table.withColumns(node_keys()).withColumn(
@@ -146,11 +182,9 @@ def fold_units(blocked: DataFrame) -> DataFrame:
     by_req = nodes.filter(F.col("req").isNotNull()).select(
         "owner", "u", F.concat(F.lit("q:"), F.col("req")).alias("v")
     )
-    titles = nodes.select("owner", "title", "u").distinct()
-    contained = titles.select("owner", "u", F.explode(substrings(F.col("title"))).alias("piece")).join(
-        titles.select("owner", F.col("title").alias("piece"), F.col("u").alias("v")), ["owner", "piece"]
-    )
-    components = connected_components(by_req.unionByName(contained.select("owner", "u", "v")), "titles")
+    named = [F.concat(F.lit("t:"), F.col(c)).alias(end) for c, end in (("title", "u"), ("part", "v"))]
+    contained = containing_titles(nodes, ["owner"]).select("owner", *named)
+    components = connected_components(by_req.unionByName(contained), "titles")
     parts = components.filter(F.col("node").startswith("t:")).select(
         F.col("owner").alias("_unit"), F.col("node").alias("_title"), F.col("component").alias("_part")
     )
@@ -161,21 +195,3 @@ def fold_units(blocked: DataFrame) -> DataFrame:
         .withColumn("unit", F.concat_ws("\u0001", "_whole_unit", "_part"))
         .drop("_whole_unit", "_unit", "_title", "_part")
     )
-
-
-def substrings(title: Column) -> Column:
-    """All distinct substrings; containment becomes an equi-join on them."""
-    starts = F.sequence(F.lit(1), F.length(title))
-    return F.when(
-        F.length(title) > 0,
-        F.array_distinct(
-            F.flatten(
-                F.transform(
-                    starts,
-                    lambda i: F.transform(
-                        F.sequence(F.lit(1), F.length(title) - i + 1), lambda n: F.substring(title, i, n)
-                    ),
-                )
-            )
-        ),
-    ).otherwise(F.array(title))

@@ -75,9 +75,8 @@ def prepare_new(rows: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFra
     return accepted, checked.filter(F.col("reason").isNotNull())
 
 
-def owned_keys(requests: DataFrame) -> list[str]:
-    """Applications are keyed on owner and id; a table of one owner's requests may leave the owner out."""
-    return [c for c in ("owner", "app_id") if c in requests.columns]
+#: Applications are keyed on owner and id: ids of two owners may be equal.
+KEYS = ["owner", "app_id"]
 
 
 def _same(keys: list[str]) -> Column:
@@ -107,7 +106,7 @@ def check_edits(edits: DataFrame) -> DataFrame:
             F.coalesce(bad_step, F.lit(False)), F.lit("invalid interview_step")
         ),
     )
-    keys = owned_keys(edits)
+    keys = KEYS
     several = edits.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
     repeated = F.when(F.col("_n").isNotNull(), F.lit("several edits of one application"))
     joined = checked.join(_private(several, keys, F.col("_n")), _same(keys), "left")
@@ -120,7 +119,7 @@ def apply_edits(apps: DataFrame, edits: DataFrame, as_of: dt.datetime) -> tuple[
     An edit is a map of the fields it sets: an absent key leaves the field, a null value
     clears it.
     """
-    checked, keys = check_edits(edits), owned_keys(edits)
+    checked, keys = check_edits(edits), KEYS
     good = _private(checked.filter(F.col("reason").isNull()), keys, F.col("set_fields").alias("_set"))
     joined = apps.join(good, _same(keys), "left")
     given = F.col("_set")
@@ -159,7 +158,7 @@ def apply_edits(apps: DataFrame, edits: DataFrame, as_of: dt.datetime) -> tuple[
 def apply_ref_edits(refs: DataFrame, edits: DataFrame, apps: DataFrame) -> DataFrame:
     """Replace the references of applications whose edit carries ``emails``."""
     replaced = check_edits(edits).filter(F.col("reason").isNull() & F.col("emails").isNotNull())
-    keys = owned_keys(edits)
+    keys = KEYS
     fresh = (
         replaced.join(apps.select("owner", "app_id"), keys)
         .select("owner", "app_id", F.posexplode(sanitize_refs(F.col("emails"))).alias("position", "r"))
@@ -267,11 +266,6 @@ def ledger_append(ledger: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def changed_since(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Ids that are new or whose ``updated_at`` moved."""
-    keys = [c for c in owned_keys(before) if c in after.columns]
-    old = before.select(*keys, F.col("updated_at").alias("_before"))
-    return (
-        after.join(old, keys, "left")
-        .filter(~F.col("updated_at").eqNullSafe(F.col("_before")))
-        .select("app_id")
-    )
+    """(owner, app_id) of applications that are new or whose ``updated_at`` moved."""
+    old = before.select(*KEYS, F.col("updated_at").alias("_before"))
+    return after.join(old, KEYS, "left").filter(~F.col("updated_at").eqNullSafe(F.col("_before"))).select(*KEYS)

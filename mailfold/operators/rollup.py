@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailfold import fixed
@@ -24,14 +24,14 @@ def forward_status(category: Column, order: Column) -> Column:
     return F.coalesce(terminal["c"], furthest["c"])
 
 
-def step_status(categories: Column) -> Column:
-    """The same rule as a step-by-step pass over an ordered array, for cross-checking."""
-
-    def step(current: Column, incoming: Column) -> Column:
-        settled = current.isin(*fixed.TERMINAL)
-        return F.when(~settled & (stage_of(incoming) >= stage_of(current)), incoming).otherwise(current)
-
-    return F.aggregate(categories, categories.getItem(0), step)
+def step_statuses(rows: DataFrame, keys: list[str], category: str, order: str) -> DataFrame:
+    """Adds ``status`` after each row of its group, step by step in order: a terminal stage stays,
+    another never goes back.  A running window, so no group is held as a whole."""
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stage = F.col(category)
+    ended = F.first(F.when(stage.isin(*fixed.TERMINAL), stage), ignorenulls=True).over(so_far)
+    furthest = F.max(F.struct(stage_of(stage).alias("s"), stage.alias("c"))).over(so_far)
+    return rows.withColumn("status", F.coalesce(ended, furthest["c"]))
 
 
 def auto_note(subject: Column, role_known: Column) -> Column:

@@ -30,11 +30,10 @@ def in_window(messages: DataFrame, days: int | None, as_of: dt.date) -> DataFram
     return messages.filter(F.col("msg_date") >= F.lit(since))
 
 
-def select_candidates(messages: DataFrame, days: int | None, as_of: dt.date) -> DataFrame:
-    """The retrieval query: recent, at least one wanted phrase, no exclusion.
+def candidate(messages: DataFrame) -> Column:
+    """What the retrieval query asks of a message, apart from its age: at least one wanted phrase, no exclusion.
 
-    The date comparison comes first and reaches the scan; columns ``mailbox_category``
-    and ``account`` take part when they are there.
+    Columns ``mailbox_category`` and ``account`` take part when they are there.
     """
     subject, sender = F.col("subject"), F.lower("sender")
     anywhere = F.concat_ws("\n", "subject", "body")
@@ -49,7 +48,13 @@ def select_candidates(messages: DataFrame, days: int | None, as_of: dt.date) ->
         keep &= ~F.coalesce(
             F.lower("mailbox_category").isin(*fixed.EXCLUDED_MAILBOX_CATEGORIES), F.lit(False)
         )
-    return in_window(messages, days, as_of).filter(keep)
+    return keep
+
+
+def select_candidates(messages: DataFrame, days: int | None, as_of: dt.date) -> DataFrame:
+    """The retrieval query: recent candidates.  The date comparison comes first and reaches the scan."""
+    recent = in_window(messages, days, as_of)
+    return recent.filter(candidate(recent))
 
 
 def unprocessed(messages: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -39,4 +39,9 @@ REFS = """
 
 LEDGER = "owner STRING, message_id STRING, thread_id STRING, classified_as STRING, synced_at TIMESTAMP"
 
-EDITS = f"app_id STRING, set_fields MAP<STRING, STRING>, emails ARRAY<{REF}>"
+# The employer component of a name or domain of an owner.
+BLOCKS = "owner STRING, node STRING, component STRING"
+
+QUARANTINE = f"{RAW_MESSAGES}, _corrupt_record STRING, arrival STRING"
+
+EDITS = f"owner STRING, app_id STRING, set_fields MAP<STRING, STRING>, emails ARRAY<{REF}>"

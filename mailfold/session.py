@@ -7,7 +7,9 @@ import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Container
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTINGS = {
@@ -69,6 +71,52 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with this content unless one of that name exists; False if it does.
+
+    The content is written under another name first and renamed without overwriting, so no
+    reader sees half a file and of several writers one wins.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}.draft")
+    files = target.getFileSystem(conf)
+    files.mkdirs(target.getParent())
+    out = files.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    never = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(draft, target, never)
+    except Py4JJavaError as failure:
+        if "FileAlreadyExists" not in failure.java_exception.getClass().getName():
+            raise
+        files.delete(draft, False)
+        return False
+    return True
+
+
+def small_files(spark: SparkSession, folder: str, skip: Container[str] = ()) -> dict[str, str]:
+    """Names and contents of the small text files of a folder, but for those of names in ``skip``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return {}
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    out = {}
+    for name in names:
+        if name not in skip and not name.startswith((".", "_")):
+            stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(path, name))
+            out[name] = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            stream.close()
+    return out
+
+
+def path_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def settle_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, tuple]:
     """:func:`settle` that also returns aggregates, computed while the rows are written."""
     seen = Observation()
