@@ -54,6 +54,17 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+def free_names(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as no column has."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit integers that scatters every bit."""
     x = x.astype(np.uint64, copy=True)

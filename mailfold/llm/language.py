@@ -47,7 +47,15 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> str:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    """The letters of a text in lower case, one space for everything between them.
+
+    Word characters include signs for numbers (superscripts, fractions, Roman numerals), which
+    are no letters; they are rare, so they are looked for in one test of the whole text.
+    """
+    plain = _NOT_LETTERS.sub(" ", text.lower())
+    if not plain.replace(" ", "").isalpha():
+        plain = "".join(c if c.isalpha() else " " for c in plain)
+    return " ".join(plain.split())
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -144,8 +144,6 @@ def normalised(sentence: str) -> str:
 KNOWN = {normalised(s): name for name, variants in SENTENCES.items() for s in variants}
 #: Every beginning, in whole words, of a known sentence.
 BEGINNINGS = {" ".join(words[:n]) for words in map(str.split, KNOWN) for n in range(1, len(words) + 1)}
-#: No known sentence is longer, however it is wrapped and indented.
-_LONGEST = max(len(s) for s in KNOWN) * 2
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -168,14 +166,15 @@ def identified(text: str) -> list[tuple[int, int, str]]:
     parts, out, i = sentences(text), [], 0
     while i < len(parts):
         start, end = parts[i]
-        short = end - start <= _LONGEST
-        hit, last, j = KNOWN.get(normalised(text[start:end])) if short else None, i, i
-        plain = words_of(text[start:end]) if short else ""
-        while plain in BEGINNINGS and j + 1 < len(parts) and parts[j + 1][1] - start <= _LONGEST:
+        hit, last, j = KNOWN.get(normalised(text[start:end])), i, i
+        plain = words_of(text[start:end])
+        while plain in BEGINNINGS and j + 1 < len(parts):
             j += 1
-            before, plain = plain, words_of(text[start : parts[j][1]])
-            if plain != before and plain in KNOWN:
-                hit, last = KNOWN[plain], j
+            more = words_of(text[slice(*parts[j])])
+            if more:  # words end with their part, so parts are joined as words
+                plain = f"{plain} {more}"
+                if plain in KNOWN:
+                    hit, last = KNOWN[plain], j
         if hit:
             out.append((start, parts[last][1], hit))
         i = last + 1
@@ -183,25 +182,42 @@ def identified(text: str) -> list[tuple[int, int, str]]:
 
 
 def recognised(found: list[tuple[int, int, str]]) -> list[tuple[str, str, int]]:
-    """(licence, family, place of its first identifier) for the rules that match, by place."""
-    free = list(enumerate(name for _, _, name in found))
+    """(licence, family, place of its first identifier) for the rules that match, by place.
+
+    A match takes the first free place of each identifier after that of the one before, so
+    the places of an identifier are walked once a rule.
+    """
+    free: dict[str, list[int]] = {}
+    for place, (_, _, name) in enumerate(found):
+        free.setdefault(name, []).append(place)
     out = []
     for licence, family, wanted in sorted(RULES, key=lambda r: -len(r[2])):
-        while free:
-            used, need = [], 0
-            for place, name in free:
-                if name == wanted[need]:
-                    used.append((place, name))
-                    need += 1
-                    if need == len(wanted):
-                        break
-            if need < len(wanted):
-                break
-            out.append((licence, family, used[0][0]))
-            free = [f for f in free if f not in used]
+        if not all(name in free for name in wanted):
+            continue
+        at, used = [0] * len(wanted), set()
+        while match := _next_match([free[name] for name in wanted], at):
+            out.append((licence, family, match[0]))
+            used.update(match)
+        for name in wanted if used else ():
+            free[name] = [place for place in free[name] if place not in used]
     return sorted(out, key=lambda x: x[2])
 
 
+def _next_match(places: list[list[int]], at: list[int]) -> list[int] | None:
+    """Increasing places, one of each list from ``at`` on; ``at`` moves past them."""
+    match, last = [], -1
+    for k, own in enumerate(places):
+        while at[k] < len(own) and own[at[k]] <= last:
+            at[k] += 1
+        if at[k] == len(own):
+            return None
+        last = own[at[k]]
+        match.append(last)
+    for k in range(len(at)):
+        at[k] += 1
+    return match
+
+
 SCANNED = "doc_id bigint, n_sentences bigint, identifiers string, spans string, licences string, families string"
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailfold.llm.common import free_names
 from mailfold.session import settle
 
 #: Lines in a window: the shortest run that is sure to be found, and the shortest removed.
@@ -72,18 +73,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN,
-                    long_words: int = LONG_WORDS, counts: bool = False) -> DataFrame:
-    """``docs`` without the lines of later repeated runs; with ``counts`` also __lines and __removed."""
-    gone = settle(repeated_lines(docs, id_col, text_col, run, long_words), "llm-repeated-lines").select(
-        F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("numbers").alias("__numbers"))
-    lined = docs.withColumn("__own", F.xxhash64(text_col)).withColumn(text_col, F.split(text_col, "\n", -1))
+                    long_words: int = LONG_WORDS, counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` without the lines of later repeated runs; ``counts`` names columns to add for the
+    numbers of lines and of removed lines, which ``docs`` must not have yet."""
+    if counts and set(counts) & set(docs.columns):
+        raise ValueError(f"columns {counts} exist")
+    doc, version, numbers, own = free_names(docs.columns, "doc", "version", "numbers", "own")
+    gone = settle(repeated_lines(docs, id_col, text_col, run, long_words), "llm-repeated-lines").toDF(doc, version, numbers)
+    lined = docs.withColumn(own, F.xxhash64(text_col)).withColumn(text_col, F.split(text_col, "\n", -1))
     # Documents with repeats grow with the input, so this is a sort-merge join at every size.
-    joined = lined.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__version")), "left")
+    joined = lined.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(version)), "left")
     lines = F.col(text_col)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__numbers")), lambda i: lines[i])
-    text = F.array_join(F.when(F.col("__numbers").isNull(), lines).otherwise(kept), "\n")
-    extra = [F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("__lines"),
-             F.coalesce(F.size("__numbers"), F.lit(0)).cast("bigint").alias("__removed")] if counts else []
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(numbers)), lambda i: lines[i])
+    text = F.array_join(F.when(F.col(numbers).isNull(), lines).otherwise(kept), "\n")
+    sizes = (F.coalesce(F.size(c), F.lit(0)).cast("bigint") for c in (lines, F.col(numbers)))
+    extra = [size.alias(name) for size, name in zip(sizes, counts or ())]
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *extra)
 
 

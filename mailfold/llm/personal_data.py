@@ -23,7 +23,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,6 +45,8 @@ BASE = {
 }
 
 _DOTTED = re.compile(r"[0-9]\.[0-9]")
+#: A match of "ip" takes whole runs of digits, so it is tried once a run, at its first digit.
+_SEARCHED = {**BASE, "ip": re.compile(r"(?<![0-9])" + BASE["ip"].pattern)}
 
 #: Looser proposals; group 0 is the span.
 PROPOSALS = {
@@ -123,7 +127,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     present = {"ip": _DOTTED.search(text), "card": True, "phone": "+" in text}
     for kind in KINDS[1:]:
         if present[kind]:
-            found += [(kind, *m.span()) for m in BASE[kind].finditer(text) if passes(kind, m[0])]
+            found += [(kind, *m.span()) for m in _SEARCHED[kind].finditer(text) if passes(kind, m[0])]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -153,19 +157,25 @@ def vote(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
         form = 1 if span[0] in "+(0" else 0
         votes = form, 1 if 9 <= len(digits) <= 15 else -1, -1 if re.fullmatch(r"(19|20)\d\d.*", span) else 0, context
         features = len({c for c in span if not c.isalnum()}) > 1, "." in span, False
-    line = text[text.rfind("\n", 0, start) + 1 : start].strip() == "" and text[end : end + 1] in ("", "\n")
+    at = start
+    while at and text[at - 1] != "\n" and text[at - 1].isspace():
+        at -= 1
+    line = (not at or text[at - 1] == "\n") and text[end : end + 1] in ("", "\n")
     return (*votes, int(features[0]), int(features[1]), int(line))
 
 
 def proposals(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, tuple[int, ...]]]:
-    """Proposed spans that no base span overlaps, with votes and features."""
+    """Proposed spans that no base span overlaps, with votes and features.  ``base`` is in order of start."""
+    starts = [s for _, s, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max))
     for kind, pattern in PROPOSALS.items():
         if kind == "email":
             places = _address_matches(text)
         else:
             places = (m.span() for m in pattern.finditer(text))
         for start, end in places:
-            if not any(s < end and start < e for _, s, e in base):
+            before = bisect_left(starts, end)
+            if not before or ends[before - 1] <= start:
                 yield kind, start, end, vote(kind, text, start, end)
 
 

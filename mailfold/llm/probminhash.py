@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailfold.llm.block_pairs import in_block_pairs
-from mailfold.llm.common import map_rows, mix64
+from mailfold.llm.common import free_names, map_rows, mix64
 from mailfold.llm.graph import components
 from mailfold.llm.shingles import BATCH_TEXTS, WORDS, probability_jaccard, shingles
 from mailfold.session import settle
@@ -205,7 +205,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their group, and those without an id."""
     marked = settle(groups(docs, id_col, text_col, **options), "llm-marked")
-    stay = marked.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
-    versioned = docs.withColumn("__own", F.xxhash64(text_col))
-    kept = versioned.join(stay, (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__version")), "left_semi")
-    return kept.dropDuplicates([id_col, "__own"]).drop("__own").unionByName(docs.where(F.col(id_col).isNull()))
+    chosen, version, own = free_names(docs.columns, "chosen", "version", "own")
+    stay = marked.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(chosen), F.col("version").alias(version))
+    versioned = docs.withColumn(own, F.xxhash64(text_col))
+    kept = versioned.join(stay, (F.col(id_col) == F.col(chosen)) & (F.col(own) == F.col(version)), "left_semi")
+    return kept.dropDuplicates([id_col, own]).drop(own).unionByName(docs.where(F.col(id_col).isNull()))

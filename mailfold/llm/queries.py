@@ -52,8 +52,8 @@ def op7_language_by_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
-    return out.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_repeats(docs, counts=("n_lines", "n_removed"))
 
 
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,3 +271,11 @@ def test_pipeline_equals_its_stages_one_by_one(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+
+
+def test_one_of_each_takes_columns_of_any_name(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "a", 1, "x"), (2, text, "b", 2, "y"), (3, "other " * 9, "c", 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, own string, version int, chosen string")
+    kept = probminhash.one_of_each(docs)
+    assert kept.columns == docs.columns and {r.doc_id: r.own for r in kept.collect()} == {1: "a", 3: "c"}

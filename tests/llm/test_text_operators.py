@@ -248,7 +248,7 @@ def test_line_dedup_equals_a_plain_version_and_its_sql(spark, run):
     lines = [f"line {c}" for c in "abcdefg"] + ["", "  ", " line a ", "w " * 60]
     texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(12))) for _ in range(80)] + [None, "", "line a", "line a\n" * 40]
     docs = frame(spark, texts)
-    got = {r.doc_id: r for r in line_dedup.without_repeats(docs, run=run, counts=True).collect()}
+    got = {r.doc_id: r for r in line_dedup.without_repeats(docs, run=run, counts=("all", "gone")).collect()}
     want = plain_line_dedup(list(enumerate(texts)), run, line_dedup.LONG_WORDS)
     assert {k: r.text for k, r in got.items()} == want
     assert got[0].n_lines == "clash"
@@ -256,7 +256,7 @@ def test_line_dedup_equals_a_plain_version_and_its_sql(spark, run):
     con.register("documents", docs.toPandas())
     rows = con.execute(line_dedup.oracle_sql(run)).fetchall()
     assert {r[0]: r[1] for r in rows} == want
-    assert {r[0]: (r[2], r[3]) for r in rows} == {k: (r["__lines"], r["__removed"]) for k, r in got.items()}
+    assert {r[0]: (r[2], r[3]) for r in rows} == {k: (r["all"], r["gone"]) for k, r in got.items()}
 
 
 def test_line_dedup_repeated_rows_null_ids_and_empty_tables(spark):
@@ -270,3 +270,89 @@ def test_line_dedup_repeated_rows_null_ids_and_empty_tables(spark):
 def test_line_dedup_is_native(spark):
     plan = line_dedup.without_repeats(frame(spark, ["a\nb"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+# --- faults that no table shows ----------------------------------------------------------
+
+
+def test_signs_for_numbers_are_no_letters():
+    known = (("a", b"some words of a language"), ("b", b"other words in another"))
+    for text in ("² ½", "Ⅷ ①", "٣", "_ 12", "", None):
+        assert language.identify(text, known) == ("und", 0.0)
+    assert language.letters("Ab²c Ⅷd_e") == "ab c d e"
+    assert language.identify("some ² words", known)[0] == "a"
+
+
+def test_long_runs_of_digits_and_many_spans_take_linear_time():
+    import time
+
+    start = time.time()
+    assert personal_data.base_spans("1.2 " + "7" * 1_000_000 + " 8.8.8.8.8.8.8.8.8 300.1.1.1.5.6.7") == [
+        ("ip", 1_000_005, 1_000_012), ("ip", 1_000_013, 1_000_020)]
+    lines = "mail a@b.example or call 020 7946 0018 now " * 8_000
+    base = personal_data.base_spans(lines)
+    found = list(personal_data.proposals(lines, base))
+    assert len(base) == 8_000 and len(found) == 8_000
+    assert time.time() - start < 20
+
+
+def test_overlap_with_an_early_long_base_span_is_seen():
+    text = "+49 030 1234 5678 x 020 7946 0018"
+    base = personal_data.base_spans(text)
+    kept = [(k, s, e) for k, s, e, _ in personal_data.proposals(text, base)]
+    assert base and not any(s < end and start < e for _, s, e in base for _, start, end in kept)
+
+
+def test_deeply_indented_licences_are_found():
+    words = licences.SENTENCES["mit-grant"][0].split()
+    for indent in (0, 40, 400):
+        lines, line = [], ""
+        for w in words:
+            if len(line) + len(w) > 30:
+                lines.append(line)
+                line = ""
+            line += w + " "
+        text = "".join(" " * indent + x + "\n" for x in [*lines, line])
+        assert [n for _, _, n in licences.identified("Intro.\n" + text)] == ["mit-grant"]
+
+
+def plain_recognised(found):
+    free, out = list(enumerate(n for _, _, n in found)), []
+    for licence, family, wanted in sorted(licences.RULES, key=lambda r: -len(r[2])):
+        while True:
+            used, need = [], 0
+            for place, name in free:
+                if need < len(wanted) and name == wanted[need]:
+                    used.append((place, name))
+                    need += 1
+            if need < len(wanted):
+                break
+            out.append((licence, family, used[0][0]))
+            free = [f for f in free if f not in used]
+    return sorted(out, key=lambda x: x[2])
+
+
+def test_rules_walk_their_places_once():
+    rng = random.Random(3)
+    names = ["mit-grant", "mit-notice", "mit-as-is", "mit-liable", "mit-title", "bsd-grant", "bsd-source", "bsd-binary", "copyright", "reserved"]
+    for _ in range(300):
+        found = [(0, 0, rng.choice(names)) for _ in range(rng.randrange(25))]
+        assert licences.recognised(found) == plain_recognised(found)
+    many = [(0, 0, rng.choice(names)) for _ in range(100_000)] + [(0, 0, "x")]
+    assert licences.recognised(many)
+
+
+def test_scans_and_languages_of_empty_tables(spark):
+    docs = frame(spark, ["x"]).where("false")
+    assert licences.scanned(docs).collect() == []
+    assert language.predicted(docs, language.learn(docs, ~language.held_out())).collect() == []
+
+
+def test_line_dedup_takes_columns_of_any_name(spark):
+    passage = "one line here\nand another one\n"
+    docs = spark.createDataFrame([(1, passage, 1, "a", None, "o", 2), (2, "x\n" + passage, 3, "b", None, "p", 4)],
+                                 "doc_id bigint, text string, doc int, version string, numbers string, own string, _doc int")
+    out = {r.doc_id: r for r in line_dedup.without_repeats(docs).collect()}
+    assert out[2].text == "x\n" and (out[2].doc, out[2].version, out[2].numbers, out[2].own, out[2]._doc) == (3, "b", None, "p", 4)
+    with pytest.raises(ValueError):
+        line_dedup.without_repeats(docs, counts=("own", "gone"))
