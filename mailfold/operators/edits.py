@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailfold import fixed
 from mailfold.functions.refs import sanitize_refs, valid_date
 from mailfold.functions.text import blank_to_null, strip
+from mailfold.operators.blocks import connected_components
 from mailfold.session import settle
 
 EDITABLE = (
@@ -180,8 +183,7 @@ def new_from_csv(parsed: DataFrame, apps: DataFrame, refs: DataFrame) -> DataFra
 
     ``parsed`` carries owner, position, company, role and emails.  A row with references is
     a copy if any of its ids is on the board or on an earlier accepted row; a row without
-    is a copy if its company and role are.  The chain of
-    acceptances is settled round by round (:func:`settle_chain`).
+    is a copy if its company and role are (:func:`settle_chain`).
     """
     rows = parsed.select("owner", "position", "company", "role", F.col("emails.message_id").alias("ids"))
     with_ids = rows.filter(F.size("ids") > 0)
@@ -208,27 +210,37 @@ def new_from_csv(parsed: DataFrame, apps: DataFrame, refs: DataFrame) -> DataFra
 def settle_chain(long: DataFrame) -> DataFrame:
     """Accepted (owner, position) among rows sharing ids; ``long`` is (owner, position, id).
 
-    A row that is first on all of its ids is accepted; rows sharing an id with an accepted
-    one are copies.  Both leave, and the rest repeats: each round is two grouped minima.
+    In order of position a row is accepted unless one of its ids is on an accepted row.  Rows
+    can only touch each other within a component of shared ids, so each component is walked
+    once, in order; rows that share no id are accepted as they are.
     """
-    undecided = settle(long, "import")
-    accepted = None
-    while True:
-        first = undecided.groupBy("owner", "id").agg(F.min("position").alias("first"))
-        ranked = undecided.join(first, ["owner", "id"])
-        winners = (
-            ranked.groupBy("owner", "position")
-            .agg(F.bool_and(F.col("position") == F.col("first")).alias("wins"))
-            .filter("wins")
-            .select("owner", "position")
-        )
-        winners = settle(winners, "import")
-        accepted = winners if accepted is None else accepted.unionByName(winners)
-        taken = undecided.join(winners, ["owner", "position"]).select("owner", "id").distinct()
-        touched = undecided.join(taken, ["owner", "id"], "left_semi").select("owner", "position").distinct()
-        undecided = settle(undecided.join(touched, ["owner", "position"], "left_anti"), "import")
-        if undecided.isEmpty():
-            return accepted
+    rows = settle(long, "import")
+    shared = rows.groupBy("owner", "id").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    linked = settle(rows.join(shared, ["owner", "id"]), "shared-ids")
+    alone = rows.join(linked, ["owner", "position"], "left_anti").select("owner", "position").distinct()
+    row_node = F.concat(F.lit("p:"), F.col("position"))
+    parts = connected_components(linked.select("owner", row_node.alias("u"), F.concat(F.lit("i:"), F.col("id")).alias("v")), "import-parts")
+    sets = linked.groupBy("owner", "position").agg(F.collect_list("id").alias("ids")).withColumn("node", row_node)
+    width = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (
+        sets.join(parts, ["owner", "node"]).select("owner", "component", "position", "ids")
+        .repartition(width, "owner", "component").sortWithinPartitions("owner", "component", "position")
+    )
+    return alone.unionByName(ordered.mapInPandas(_accept, "owner STRING, position BIGINT"))
+
+
+def _accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of components one after the other; what is remembered are the accepted ids of the open one."""
+    current, taken = None, set()
+    for batch in batches:
+        accepted = []
+        for owner, component, position, ids in batch.itertuples(index=False, name=None):
+            if (owner, component) != current:
+                current, taken = (owner, component), set()
+            if taken.isdisjoint(ids):
+                taken.update(ids)
+                accepted.append((owner, position))
+        yield pd.DataFrame(accepted, columns=["owner", "position"])
 
 
 def import_summary(marked: DataFrame, failed: int = 0) -> DataFrame:
