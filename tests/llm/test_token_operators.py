@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -159,6 +161,111 @@ def test_merkle_trees_locate_edits():
     assert merkle.likeness(merkle.fingerprint(""), merkle.fingerprint(None)) == 1
 
 
+def test_section_counts_equal_an_allocation_token_by_token(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    plain = tokenizers.Tokenizer.from_file(byte_bpe.default_vocabulary())
+    lengths = byte_bpe.load(byte_bpe.default_vocabulary()).byte_lengths
+    rng = random.Random(12)
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(["ab ", "\n", "\n\n", "日本", "é", "--", "\t", "word"]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.section): (r.start, r.end, r.n_tokens, r.n_crossing) for r in token_counts.section_counts(docs).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        lines, at = [], 0
+        for line in re.findall(r"[^\n]*\n|[^\n]+", text) or [""]:
+            if lines and (line == "\n" or not text[:at].strip("\n")):
+                lines[-1][1] += len(line)  # empty lines belong to the line before them, leading ones to the first
+            else:
+                lines.append([at, at + len(line)])
+            at += len(line)
+        counts, crossing, byte = [0] * len(lines), [0] * len(lines), 0
+        spans = [(len(text[:a].encode()), len(text[:b].encode())) for a, b in lines]
+        for token in plain.encode(text, add_special_tokens=False).ids:
+            size = int(lengths[token])
+            held = [max(0, min(b, byte + size) - max(a, byte)) for a, b in spans]
+            owner = held.index(max(held))
+            counts[owner] += 1
+            crossing[owner] += sum(h > 0 for h in held) > 1
+            byte += size
+        want |= {(i, k): (a, b, counts[k], crossing[k]) for k, (a, b) in enumerate(lines)}
+    assert got == want
+
+
+def plain_best_two_fit(lengths, capacity):
+    """One piece at a time: fill with the largest that fits, then let two take the place of the smallest."""
+    left, bins = sorted(lengths, reverse=True), Counter()
+    while left:
+        bin_, gap = [], capacity
+        for size in list(left):
+            if size <= gap:
+                bin_.append(size)
+                left.remove(size)
+                gap -= size
+        if gap and len(bin_) > 1:
+            room = gap + bin_[-1]
+            pairs = [(a + b, -b, a) for i, a in enumerate(left) for b in left[i + 1:] if a + b <= room]
+            if pairs and max(pairs)[0] > bin_[-1]:
+                _, b, a = max(pairs)
+                left.remove(a)
+                left.remove(-b)
+                left = sorted([*left, bin_.pop()], reverse=True)
+                bin_ += [a, -b]
+        bins[tuple(sorted(bin_))] += 1
+    return bins
+
+
+def test_plans_over_counts_equal_packing_piece_by_piece():
+    rng = random.Random(9)
+    for case in range(150):
+        capacity = rng.choice([10, 64, 100])
+        lengths = [rng.choice([1, 2, 3, rng.randrange(1, capacity + 1)]) for _ in range(rng.randrange(70))]
+        got = Counter()
+        for times, bin_ in packing.plan(dict(Counter(lengths)), capacity):
+            got[tuple(sorted(bin_))] += times
+        assert got == plain_best_two_fit(lengths, capacity), case
+
+
+def plain_blocks(text):
+    """Blocks by their definition, a byte at a time."""
+    data, blocks, block = text.encode(), [], b""
+    for i, byte in enumerate(data):
+        wide = byte >= 0xE0
+        context = 0
+        for back in range(1, 5):
+            context = (context * 0x01000193 ^ data[i - back]) % 2**32 if i >= 4 else 0
+        chosen = i >= 4 and (byte == 0x20 or wide) and ((context * 0x9E3779B1) % 2**32 >> 16) % (merkle.BLOCK_WORDS * (1 + wide)) == 0
+        if chosen and wide and block:
+            blocks.append(block)
+            block = b""
+        block += bytes([byte])
+        if chosen and not wide or byte == 0x0A:
+            blocks.append(block)
+            block = b""
+    return blocks + [block] * bool(block)
+
+
+def test_merkle_fingerprints_equal_their_definition():
+    rng = random.Random(7)
+    for _ in range(60):
+        words = [rng.choice(["plain", "wörd", "日本語", "x", "\n", "\n\n", "longer-word"]) for _ in range(rng.randrange(120))]
+        text = " ".join(words)
+        blocks = plain_blocks(text)
+        printed = [b for s in merkle.parse(merkle.fingerprint(text))[1] for p in s for b in p]
+        assert printed == [(hashlib.blake2b(b, digest_size=16).hexdigest()[:10], len(b.decode())) for b in blocks]
+        other = text.replace("x", "y", 1) + " more"
+        a, b = Counter(blocks), Counter(plain_blocks(other))
+        size = sum(len(k.decode()) * n for c in (a, b) for k, n in c.items())
+        assert merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(other)) == 2 * sum(len(k.decode()) * n for k, n in (a & b).items()) / size
+
+
+def test_merkle_roots_hold_more_than_the_printed_digests(monkeypatch):
+    text = "some words\nand others\n\nlast"
+    before = merkle.fingerprint(text)
+    monkeypatch.setattr(merkle, "BLOCK_DIGEST", 1)
+    cut = merkle.fingerprint(text)
+    assert cut.split(":")[0] == before.split(":")[0] and len(cut) < len(before)
+
+
 def test_merkle_of_empty_and_single_tables(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert merkle.with_successors(empty).count() == 0
