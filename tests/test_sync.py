@@ -79,9 +79,10 @@ def test_of_two_writers_one_starts_again(spark, tmp_path):
     raw = read_messages(spark, dump(tmp_path, "in.json", [("m", "u", 3, *APPLIED)]))
     sync_batch(board, raw, AS_OF, batch="one", select=False)
     assert [c["version"] for c in board.log()] == [0, 1] and ids(board) == [("u", "m")]
-    board.rivals = 100
+    empty = {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
     with pytest.raises(CommitConflict):
-        sync_batch(board, raw, AS_OF, batch="two", select=False)
+        board.commit(empty["applications"], empty["refs"], empty["ledger"], AS_OF, blocks=empty["blocks"], after=0)
+    assert board.head() == 1
 
 
 def test_a_marker_is_written_once(spark, tmp_path):
