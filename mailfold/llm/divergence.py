@@ -13,9 +13,10 @@ count, in blocks of BLOCK terms.  A pair of sources is compared by intersecting
 their runs: one difference for each piece, times its length.  All arithmetic is in whole
 numbers.
 
-Work is spread by term while counting (partial counts of a task first, so a source with a
-third of all rows adds no more rows than it has terms a task), by block while comparing.
-Only the result has a row for each pair of sources.
+Work is spread by term while counting.  A task counts first, so a source or a word with a
+third of all rows adds no more than a row for each of its terms and tasks, and terms of too
+few documents leave before counts are divided by source.  Columns are compared by blocks of
+terms and tiles of sources, which bounds a task; only the result has a row for each pair.
 
 Defined results: null text, lang and source are empty strings; every (lang, source) that
 occurs has its pairs, of value 0 if the language keeps no term; repeated rows count as
@@ -31,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType, _parse_datatype_string
 
 from mailfold.llm.common import Rows, map_rows
 from mailfold.operators.reports import ranked
@@ -41,13 +44,18 @@ SCALE = 1_000_000_000
 ADD = 5
 #: Ranks of the part ``term``.
 TOP = 50
-#: Terms in a block of a column.
-BLOCK = 65_536
+#: Terms in a block of a column, and columns of a block that meet in one task, about.
+BLOCK = 16_384
+TILE = 64
 #: Distinct terms that a task holds before it hands its counts on, and bytes it splits at a time.
-HELD_TERMS = 500_000
+HELD_TERMS = 100_000
 STEP_BYTES = 1 << 20
+BATCH_ROWS = 20_000
 
-PARTIAL = "lang STRING, source STRING, term STRING, n BIGINT, docs BIGINT"
+PARTIAL = StructType([
+    StructField("lang", StringType()), StructField("term", StringType()), StructField("docs", LongType()),
+    StructField("cells", ArrayType(StructType([StructField("source", StringType()), StructField("n", LongType())]))),
+])
 COLUMN = "lang STRING, source STRING, block BIGINT, ends ARRAY<BIGINT>, counts ARRAY<BIGINT>, shares ARRAY<BIGINT>"
 PAIRED = "lang STRING, source STRING, other STRING, value BIGINT"
 
@@ -69,31 +77,51 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def partial_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """Occurrences and documents of every term and group, in parts; a row without term for every group."""
+def _packed(lang: str, words: list[bytes | None], docs: list[int], ends: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows of PARTIAL from flat arrays: the cells of a term end at its place in ``ends``."""
+    arrow = to_arrow_schema(PARTIAL)
+    cells = pa.StructArray.from_arrays([sources, pa.array(counts)], fields=list(arrow.field("cells").type.value_type))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), cells)
+    columns = [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), lists]
+    return pa.RecordBatch.from_arrays(columns, names=arrow.names)
+
+
+def partial_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str, held_terms: int = HELD_TERMS) -> DataFrame:
+    """Documents of every term of a language and its occurrences by source, in parts; a row without
+    term lists the sources of a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        names = [c.split()[0] for c in PARTIAL.split(", ")]
-        types = [pa.string()] * 3 + [pa.int64()] * 2
+        held: dict[str, dict[str, Counter]] = {}
+        in_docs: dict[str, Counter] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, in_docs) in held.items():
-                found = [None, *pa.array(list(n), pa.binary()).cast(pa.string()).to_pylist()]
-                columns = ([lang] * len(found), [source] * len(found), found, [0, *n.values()], [0, *(in_docs[t] for t in n)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            for lang, by_source in held.items():
+                found, names = list(in_docs[lang]), list(by_source)
+                place = {term: i for i, term in enumerate(found)}
+                owners = np.concatenate([np.array([place[t] for t in by_source[s]], dtype=np.int64) for s in names])
+                order = np.argsort(owners, kind="stable")
+                ends = np.cumsum(np.bincount(owners, minlength=len(found)))
+                sources = np.repeat(np.arange(len(names)), [len(by_source[s]) for s in names])[order]
+                counts = np.concatenate([np.fromiter(by_source[s].values(), dtype=np.int64) for s in names])[order]
+                known = pa.array(names, pa.string())
+                yield _packed(lang, [None], [0], np.array([len(names)]), known, np.zeros(len(names), dtype=np.int64))
+                for at in range(0, len(found), BATCH_ROWS):
+                    part = found[at:at + BATCH_ROWS]
+                    lo, hi = (int(ends[at - 1]) if at else 0), int(ends[at + len(part) - 1])
+                    yield _packed(lang, part, [in_docs[lang][t] for t in part], ends[at:at + len(part)] - lo, known.take(pa.array(sources[lo:hi])), counts[lo:hi])
             held.clear()
+            in_docs.clear()
 
         for batch in batches:
-            for lang, source, text in zip(*batch.columns):
-                n, in_docs = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2)):
+                n = held.setdefault(lang, {}).setdefault(source, Counter())
                 seen: set[bytes] = set()
                 for words in terms(text.as_py()):
                     n.update(words)
                     seen.update(words)
-                in_docs.update(seen)
-            if sum(len(n) for n, _ in held.values()) > HELD_TERMS:
-                yield from flush()
+                in_docs.setdefault(lang, Counter()).update(seen)
+                if sum(map(len, in_docs.values())) > held_terms:
+                    yield from flush()
         yield from flush()
 
     def filled(c: str) -> Column:
@@ -151,18 +179,32 @@ def distance(ends: np.ndarray, shares: np.ndarray, other_ends: np.ndarray, other
     return int((gaps * np.diff(cuts, prepend=0)).sum())
 
 
-def compared(runs: DataFrame) -> DataFrame:
-    """(lang, source, other, value) for each two sources of a language, the lesser name first."""
-    left = runs.select("lang", "block", "source", "ends", "shares")
-    right = runs.select(*[F.col(c).alias(f"_{c}") for c in left.columns])
-    same = (F.col("lang") == F.col("_lang")) & (F.col("block") == F.col("_block")) & (F.col("source") < F.col("_source"))
-
-    def sums(rows: Rows) -> Iterator[Rows]:
-        values = [distance(*(np.array(x, dtype=np.int64) for x in four)) for four in zip(*(rows[c] for c in ("a", "p", "b", "q")))]
-        yield {"lang": rows["lang"], "source": rows["source"], "other": rows["other"], "value": values}
-
-    parts = map_rows(left.join(right, same), PAIRED, sums, lang="lang", source="source", other="_source", a="ends", p="shares",
-                     b="_ends", q="_shares")
+def compared(runs: DataFrame, tile: int = TILE) -> DataFrame:
+    """(lang, source, other, value) for each two sources of a language, the lesser name first.
+
+    Sources of a language fall into tiles; every two tiles, and each with itself, meet once a block.
+    """
+    tiles = runs.groupBy("lang").agg(F.ceil(F.count_distinct("source") / tile).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int")
+    spread = runs.join(tiles, "lang").withColumn("own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = spread.select("lang", "block", F.least("own", "_with").alias("low"), F.greatest("own", "_with").alias("high"), "source", "own",
+                           "ends", "shares")
+    arrow = to_arrow_schema(_parse_datatype_string(PAIRED))
+
+    def sums(table: pa.Table) -> pa.Table:
+        lists = []
+        for name in ("ends", "shares"):
+            column = table.column(name).combine_chunks()
+            values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+            lists.append([values[a:b] for a, b in zip(offsets, offsets[1:])])
+        names, tile_of = table.column("source").to_pylist(), table.column("own").to_pylist()
+        lang, within = table.column("lang")[0].as_py(), table.column("low")[0] == table.column("high")[0]
+        order = sorted(range(len(names)), key=names.__getitem__)
+        out = [(lang, names[i], names[j], distance(lists[0][i], lists[1][i], lists[0][j], lists[1][j]))
+               for k, i in enumerate(order) for j in order[k + 1:] if within or tile_of[i] != tile_of[j]]
+        return pa.table([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * 4, arrow)], schema=arrow)
+
+    parts = placed.groupBy("lang", "block", "low", "high").applyInArrow(sums, PAIRED)
     return parts.groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))
 
 
@@ -172,16 +214,15 @@ def _ranks(rows: DataFrame, part: str) -> DataFrame:
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS,
-          top: int = TOP, block: int = BLOCK) -> DataFrame:
+          top: int = TOP, block: int = BLOCK, tile: int = TILE, held_terms: int = HELD_TERMS) -> DataFrame:
     """Per group: its distance to each other source (``pair``), its most overused terms (``term``)."""
-    parts = partial_counts(docs, text_col, lang_col, source_col)
-    counts = settle(parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "llm-term-counts")
-    found = counts.where("term IS NOT NULL")
-    cell = F.struct("source", "n")
-    kept = found.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.sort_array(F.collect_list(cell)).alias("signature")
-    ).where(F.col("docs") >= min_docs)
+    parts = settle(partial_counts(docs, text_col, lang_col, source_col, held_terms), "llm-term-parts", compression="zstd")
+    known = parts.where("term IS NOT NULL")
+    wanted = settle(known.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term"), "llm-kept-terms")
+    cells = known.join(wanted, ["lang", "term"]).select("lang", "term", F.explode("cells").alias("cell"))
+    found = settle(cells.groupBy("lang", F.col("cell.source").alias("source"), "term").agg(F.sum("cell.n").alias("n")), "llm-term-counts")
     # One entry a source in a signature: as many as the result has pairs of one source.
+    kept = found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("signature"))
     vocabulary = settle(ranked(kept, [F.col("signature"), F.col("term")], ["lang"]).select(
         "lang", "term", "lang_n", (F.col("rank") - 1).cast("bigint").alias("place")), "llm-vocabulary")
     entries = settle(found.join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n", "place"), "llm-entries")
@@ -189,10 +230,10 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = F.lit(0).cast("bigint")
     groups = settle(
-        counts.where("term IS NULL").select("lang", "source").join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
+        parts.where("term IS NULL").select("lang", F.explode("cells.source").alias("source")).distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
         .select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("total", "kept", "lang_total")]), "llm-groups")
 
-    values = compared(settle(columns(entries, groups, block), "llm-columns"))
+    values = compared(settle(columns(entries, groups, block), "llm-columns"), tile)
     both = values.select("lang", "source", F.col("other").alias("item"), "value").unionByName(
         values.select("lang", F.col("other").alias("source"), F.col("source").alias("item"), "value"))
     names = groups.select("lang", "source")

@@ -175,15 +175,15 @@ def plain_audit(rows, min_docs, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block,min_docs,top", [(1, 2, 3), (4, 2, 50), (65_536, 3, 50)])
-def test_divergence_equals_dense_columns(spark, block, min_docs, top):
+@pytest.mark.parametrize("block,min_docs,top,tile,held", [(1, 2, 3, 1, 3), (4, 2, 50, 2, 10), (16_384, 3, 50, 64, 500_000)])
+def test_divergence_equals_dense_columns(spark, block, min_docs, top, tile, held):
     rng = random.Random(block)
     vocabulary = ["Apple", "apple", "Été", "été", "x", "ab1cd", "日本", "no break", "Ä", "zz", "q-r", "\x7f", "123"]
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(30))), rng.choice(["en", "de", None, ""]),
              rng.choice(["s1", "s2", "é", None])) for i in range(80)]
     rows += [(90, None, "fr", "alone"), (91, "", "fr", "empty"), (92, "once", "it", "one"), (93, None, None, None)] + rows[:5]
     rows += [(99, "rare " * 50 + "long" * 700_000, "en", "s1")]
-    got = divergence.audit(table(spark, rows), min_docs=min_docs, top=top, block=block)
+    got = divergence.audit(table(spark, rows), min_docs=min_docs, top=top, block=block, tile=tile, held_terms=held)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(map(tuple, got.collect())) == plain_audit(rows, min_docs, top)
 
