@@ -101,7 +101,7 @@ def test_edits_know_their_owner_and_contradictions_are_refused(spark):
     apps = spark.createDataFrame([], schemas.APPLICATIONS)
     row = {f.name: None for f in apps.schema} | {"app_id": "app-1", "company": "Contoso", "status": "applied", "edited": False, "reached_interview": False}
     apps = spark.createDataFrame([row | {"owner": "u"}, row | {"owner": "v"}, row | {"owner": "u", "app_id": "app-2"}], apps.schema)
-    schema = "owner string, " + schemas.EDITS
+    schema = schemas.EDITS
     asked = [("u", "app-1", {"role": "Analyst"}, None), ("u", "app-2", {"role": "A"}, None), ("u", "app-2", {"role": "B"}, None),
              ("w", "app-1", {"role": "C"}, None), ("v", "app-1", {"status": "archived"}, None)]
     after, refused = edits.apply_edits(apps, spark.createDataFrame(asked, schema), dt.datetime(2031, 1, 1))
