@@ -13,7 +13,7 @@ from mailfold import fixed
 from mailfold.functions.refs import sanitize_refs, valid_date
 from mailfold.functions.text import blank_to_null, strip
 from mailfold.operators.blocks import connected_components
-from mailfold.session import settle
+from mailfold.session import settle, together
 
 EDITABLE = (
     "company", "role", "status", "interview_step", "reached_interview", "date_applied",
@@ -222,10 +222,8 @@ def settle_chain(long: DataFrame) -> DataFrame:
     parts = connected_components(linked.select("owner", row_node.alias("u"), F.concat(F.lit("i:"), F.col("id")).alias("v")), "import-parts")
     sets = linked.groupBy("owner", "position").agg(F.collect_list("id").alias("ids")).withColumn("node", row_node)
     width = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        sets.join(parts, ["owner", "node"]).select("owner", "component", "position", "ids")
-        .repartition(width, "owner", "component").sortWithinPartitions("owner", "component", "position")
-    )
+    walked = sets.join(parts, ["owner", "node"]).select("owner", "component", "position", "ids")
+    ordered = together(walked, width, "owner", "component").sortWithinPartitions("owner", "component", "position")
     return alone.unionByName(ordered.mapInPandas(_accept, "owner STRING, position BIGINT"))
 
 

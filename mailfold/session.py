@@ -11,6 +11,7 @@ from collections.abc import Container
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -117,6 +118,16 @@ def path_exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def together(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """``df`` dealt so that rows of equal keys share a task, for Python that streams over sorted rows.
+
+    Dealt by a hash of the keys: an exchange by the keys themselves is dropped where a join has
+    dealt its rows alike, and the adaptive planner, which sees no need of Python for it, may then
+    read that join's shuffle locally or split its skewed partitions, and a key's rows part.
+    """
+    return df.repartition(partitions, F.xxhash64(*keys))
+
+
 def settle_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, tuple]:
     """:func:`settle` that also returns aggregates, computed while the rows are written."""
     seen = Observation()
