@@ -1,7 +1,10 @@
 """What a query sends and writes, on rows built here."""
 
+import pathlib
+
 from pyspark.sql import functions as F
 
+from checks import queries
 from mailfold.operators.titles import containing_titles
 from mailfold.session import SETTINGS
 
@@ -20,3 +23,27 @@ def test_exploded_pieces_are_not_broadcast(spark):
 
 def test_file_sizes_are_read_as_sizes_of_rows():
     assert float(SETTINGS["spark.sql.sources.fileCompressionFactor"]) > 1
+
+
+def test_hosts_are_counted_without_patterns_in_a_join(spark, tmp_path):
+    lines(spark, tmp_path)
+    found = queries.shared_host_messages(spark, str(tmp_path))
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r.n for r in found.collect()) == 12
+
+
+def test_dumps_are_written_compressed(spark, tmp_path):
+    lines(spark, tmp_path)
+    root = queries.dumps_by_arrival(spark, str(tmp_path))
+    files = [str(p) for p in pathlib.Path(root.removeprefix("file:")).rglob("part-*")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    assert spark.read.json(f"{root}/in").count() == 12
+
+
+def lines(spark, folder):
+    """Twelve lines of four orders."""
+    orders = spark.range(1, 5).selectExpr("id AS o_orderkey", "id AS o_custkey", "DATE'1996-03-01' + CAST(id * 400 AS INT) AS o_orderdate")
+    orders.write.mode("overwrite").parquet(f"{folder}/orders.parquet")
+    orders.crossJoin(spark.range(1, 4)).selectExpr(
+        "o_orderkey AS l_orderkey", "CAST(id AS INT) AS l_linenumber", "o_orderkey * 7 + id AS l_partkey", "id AS l_suppkey"
+    ).write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
