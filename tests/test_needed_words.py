@@ -5,9 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from mailfold import fixed
 from mailfold.functions import identity, requisition, roles, templates
 from mailfold.functions.text import grab, jvm, matches
+from mailfold.session import SETTINGS
 
 TEXTS = (
     "Your interview has been SCHEDULED", "12 new jobs for you", "Sign-in link", "One time code", "auto: away",
@@ -67,3 +69,14 @@ def test_company_followed_by_title_noun(spark):
          ("Thank you for your interest in Quenby. Quenby writes",)], "b STRING")
     got = [r[0] for r in rows.select(templates.extract_company_role(F.lit("Hello"), F.col("b"))["company"]).collect()]
     assert got == [None, "Quenby"]
+
+
+def test_mail_queries_run_no_method_too_long_to_compile(spark, tmp_path):
+    spark.range(3).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    limit = __spark_entry__.METHOD_LIMIT
+    spark.conf.set(limit, "65535")
+    try:
+        assert __spark_entry__.queries()["requisitions_canonical"](spark, str(tmp_path)).count() == 3
+        assert int(spark.conf.get(limit)) <= 8000
+    finally:
+        spark.conf.set(limit, SETTINGS[limit])
