@@ -29,7 +29,7 @@ def map_rows(df: DataFrame, schema: str | StructType, fn: Callable[[Rows], Itera
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 rows = {name: part.column(i).to_pylist() for i, name in enumerate(names)}
                 for out in fn(rows):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
@@ -38,7 +38,7 @@ def map_rows(df: DataFrame, schema: str | StructType, fn: Callable[[Rows], Itera
     return picked.mapInArrow(run, struct)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about STEP_CHARS bytes, one row at least."""
     if not batch.num_rows:
         return

@@ -13,9 +13,10 @@ count, in blocks of BLOCK terms.  A pair of sources is compared by intersecting
 their runs: one difference for each piece, times its length.  All arithmetic is in whole
 numbers.
 
-Work is spread by term while counting.  A task counts first, so a source or a word with a
-third of all rows adds no more than a row for each of its terms and tasks, and terms of too
-few documents leave before counts are divided by source.  Columns are compared by blocks of
+Work is spread by term while counting.  A task counts first, whole batches of text at a time in
+flat arrays that it merges as they grow, so a source or a word with a third of all rows adds no
+more than a row for each of its terms and merges.  Counts are shuffled once, by term, where
+terms of too few documents leave and the rest are summed.  Columns are compared by blocks of
 terms and tiles of sources, which bounds a task; only the result has a row for each pair.
 
 Defined results: null text, lang and source are empty strings; every (lang, source) that
@@ -27,15 +28,17 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType, _parse_datatype_string
 
-from mailfold.llm.common import Rows, map_rows
+from mailfold.llm.common import Rows, map_rows, slices
 from mailfold.operators.reports import ranked
 from mailfold.session import settle
 
@@ -47,8 +50,11 @@ TOP = 50
 #: Terms in a block of a column, and columns of a block that meet in one task, about.
 BLOCK = 16_384
 TILE = 64
-#: Distinct terms that a task holds before it hands its counts on, and bytes it splits at a time.
-HELD_TERMS = 100_000
+#: Counts (of a term in a source) that a task holds before it merges them and hands them on, and bytes
+#: of terms beyond which it does so too.
+HELD_TERMS = 2_000_000
+HELD_BYTES = 64 << 20
+#: Bytes of a text beyond which it is split in steps.
 STEP_BYTES = 1 << 20
 BATCH_ROWS = 20_000
 
@@ -77,63 +83,134 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def _packed(lang: str, words: list[bytes | None], docs: list[int], ends: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    """Rows of PARTIAL from flat arrays: the cells of a term end at its place in ``ends``."""
+class Cells(NamedTuple):
+    """Counts of a task, one for each term and group: terms by their place in ``words``."""
+
+    words: pa.Array
+    code: np.ndarray
+    group: np.ndarray
+    n: np.ndarray
+    docs: np.ndarray
+
+
+def _summed(words: pa.Array, code: np.ndarray, group: np.ndarray, n: np.ndarray, docs: np.ndarray, groups: int) -> Cells:
+    """One entry for each term and group, by term and then group."""
+    key = code.astype(np.int64) * groups + group
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    code, group = np.divmod(key[first], groups)
+    return Cells(words, code.astype(np.int32), group.astype(np.int32), np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first))
+
+
+def step_counts(texts: pa.Array, group: np.ndarray) -> Cells | None:
+    """Counts of texts (binary, not null) of the given groups; None if they hold no term."""
+    if not len(texts):
+        return None
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    offsets, start, end = offsets - offsets[0], int(offsets[0]), int(offsets[-1])
+    if start == end:
+        return None
+    data = np.frombuffer(texts.buffers()[2].slice(start, end - start).to_pybytes().translate(_LETTERS), dtype=np.uint8)
+    letter = data != 0x20
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]  # a term does not go on in the next text
+    begins[edges] = letter[edges]
+    places = np.flatnonzero(begins)
+    if not len(places):
+        return None
+    data, before = data[letter], np.cumsum(letter, dtype=np.int32)
+    ends = np.append(before[places] - 1, len(data)).astype(np.int32)
+    coded = pa.BinaryArray.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(places, offsets)))
+    pair, n = np.unique(doc * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+    doc, code = np.divmod(pair, len(coded.dictionary))
+    return _summed(coded.dictionary, code, group[doc], n, np.ones(len(n), dtype=np.int64), int(group.max()) + 1)
+
+
+def _merged(held: list[Cells], groups: int) -> Cells:
+    """The counts of several steps as one."""
+    coded = pa.chunked_array([c.words for c in held]).dictionary_encode()
+    code = np.concatenate([chunk.indices.to_numpy()[c.code] for chunk, c in zip(coded.chunks, held)])
+    return _summed(coded.chunk(0).dictionary, code, *(np.concatenate(x) for x in list(zip(*held))[2:]), groups)
+
+
+def _packed(cells: Cells, langs: list[str], sources: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of PARTIAL; ``langs`` and ``sources`` name the groups."""
+    known = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
+    lang = np.array([known[x] for x in langs])[cells.group]
+    order = np.lexsort((lang, cells.code))
+    code, lang = cells.code[order], lang[order]
+    first = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0))
+    ends = np.append(first, len(code))
+    docs = np.add.reduceat(cells.docs[order], first)
     arrow = to_arrow_schema(PARTIAL)
-    cells = pa.StructArray.from_arrays([sources, pa.array(counts)], fields=list(arrow.field("cells").type.value_type))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), cells)
-    columns = [pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), lists]
-    return pa.RecordBatch.from_arrays(columns, names=arrow.names)
+    fields = list(arrow.field("cells").type.value_type)
+    for at in range(0, len(first), BATCH_ROWS):
+        rows = slice(at, at + BATCH_ROWS)
+        cuts = ends[at:at + BATCH_ROWS + 1]
+        own = order[cuts[0]:cuts[-1]]
+        inner = pa.StructArray.from_arrays([pa.array(sources, pa.string()).take(pa.array(cells.group[own])), pa.array(cells.n[own])], fields=fields)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(list(known), pa.string()).take(pa.array(lang[first[rows]])), cells.words.take(pa.array(code[first[rows]])).cast(pa.string()),
+            pa.array(docs[rows]), pa.ListArray.from_arrays(pa.array(cuts - cuts[0], pa.int32()), inner)], names=arrow.names)
 
 
 def partial_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str, held_terms: int = HELD_TERMS) -> DataFrame:
-    """Documents of every term of a language and its occurrences by source, in parts; a row without
-    term lists the sources of a language."""
+    """Documents of every term of a language and its occurrences by source, in parts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[str, Counter]] = {}
-        in_docs: dict[str, Counter] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, by_source in held.items():
-                found, names = list(in_docs[lang]), list(by_source)
-                place = {term: i for i, term in enumerate(found)}
-                owners = np.concatenate([np.array([place[t] for t in by_source[s]], dtype=np.int64) for s in names])
-                order = np.argsort(owners, kind="stable")
-                ends = np.cumsum(np.bincount(owners, minlength=len(found)))
-                sources = np.repeat(np.arange(len(names)), [len(by_source[s]) for s in names])[order]
-                counts = np.concatenate([np.fromiter(by_source[s].values(), dtype=np.int64) for s in names])[order]
-                known = pa.array(names, pa.string())
-                yield _packed(lang, [None], [0], np.array([len(names)]), known, np.zeros(len(names), dtype=np.int64))
-                for at in range(0, len(found), BATCH_ROWS):
-                    part = found[at:at + BATCH_ROWS]
-                    lo, hi = (int(ends[at - 1]) if at else 0), int(ends[at + len(part) - 1])
-                    yield _packed(lang, part, [in_docs[lang][t] for t in part], ends[at:at + len(part)] - lo, known.take(pa.array(sources[lo:hi])), counts[lo:hi])
-            held.clear()
-            in_docs.clear()
+        held: list[Cells] = []
+        groups: dict[tuple[str, str], int] = {}
+
+        def over(share: int) -> bool:
+            """Whether more is held than this part of the limits."""
+            return sum(len(c.n) for c in held) * share > held_terms or sum(c.words.nbytes for c in held) * share > HELD_BYTES
+
+        def flush(last: bool = False) -> Iterator[pa.RecordBatch]:
+            """Merges what is held, and hands it on if that is still much."""
+            if held:
+                held[:] = [_merged(held, len(groups))]
+                if last or over(2):
+                    yield from _packed(held[0], *map(list, zip(*groups)))
+                    held.clear()
+                    groups.clear()
 
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2)):
-                n = held.setdefault(lang, {}).setdefault(source, Counter())
-                seen: set[bytes] = set()
-                for words in terms(text.as_py()):
-                    n.update(words)
-                    seen.update(words)
-                in_docs.setdefault(lang, Counter()).update(seen)
-                if sum(map(len, in_docs.values())) > held_terms:
+            for part in slices(batch):
+                group = np.array([groups.setdefault(key, len(groups)) for key in zip(*(c.to_pylist() for c in part.columns[:2]))])
+                texts = part.column(2)
+                large = pc.greater(pc.binary_length(texts), STEP_BYTES).to_numpy(zero_copy_only=False)
+                for i in np.flatnonzero(large).tolist():
+                    n: Counter[bytes] = Counter()
+                    for words in terms(texts[i].as_py()):
+                        n.update(words)
+                    if n:
+                        held.append(Cells(pa.array(list(n), pa.binary()), np.arange(len(n)), np.full(len(n), group[i]),
+                                          np.fromiter(n.values(), dtype=np.int64), np.ones(len(n), dtype=np.int64)))
+                if large.any():
+                    texts, group = texts.filter(pa.array(~large)), group[~large]
+                if cells := step_counts(texts, group):
+                    held.append(cells)
+                if over(1):
                     yield from flush()
-        yield from flush()
+        yield from flush(last=True)
 
-    def filled(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text = filled(text_col).cast("binary").alias("text")
+    return docs.select(filled(lang_col).alias("lang"), filled(source_col).alias("source"), text).mapInArrow(count, PARTIAL)
 
-    return docs.select(filled(lang_col).alias("lang"), filled(source_col).alias("source"),
-                       filled(text_col).cast("binary").alias("text")).mapInArrow(count, PARTIAL)
+
+def filled(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
 def exact_share(count: str, total: str, kept: str) -> Column:
-    """The smoothed share of a count, for columns of counts, their sum and the number of terms."""
-    return F.expr(f"1 + (({count} + {ADD}) * CAST({SCALE} AS DECIMAL(19, 0))) div (CAST({total} AS DECIMAL(20, 0)) + {ADD} * CAST({kept} AS DECIMAL(20, 0)))")
+    """The smoothed share of a count, for columns of counts, their sum and the number of terms: in decimals where 64 bits may not do."""
+    whole = f"1 + (({count} + {ADD}) * CAST({SCALE} AS DECIMAL(19, 0))) div (CAST({total} AS DECIMAL(20, 0)) + {ADD} * CAST({kept} AS DECIMAL(20, 0)))"
+    short = f"1 + (({count} + {ADD}) * CAST({SCALE} AS BIGINT)) div ({total} + {ADD} * CAST({kept} AS BIGINT))"
+    fits = f"{count} < {9 * 10**18 // SCALE - ADD} AND {total} < {10**18} AND {kept} < {10**18}"
+    return F.expr(f"CASE WHEN {fits} THEN {short} ELSE {whole} END")
 
 
 def _shares(counts: np.ndarray, total: int, kept: int) -> np.ndarray:
@@ -216,11 +293,13 @@ def _ranks(rows: DataFrame, part: str) -> DataFrame:
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS,
           top: int = TOP, block: int = BLOCK, tile: int = TILE, held_terms: int = HELD_TERMS) -> DataFrame:
     """Per group: its distance to each other source (``pair``), its most overused terms (``term``)."""
-    parts = settle(partial_counts(docs, text_col, lang_col, source_col, held_terms), "llm-term-parts", compression="zstd")
-    known = parts.where("term IS NOT NULL")
-    wanted = settle(known.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term"), "llm-kept-terms")
-    cells = known.join(wanted, ["lang", "term"]).select("lang", "term", F.explode("cells").alias("cell"))
-    found = settle(cells.groupBy("lang", F.col("cell.source").alias("source"), "term").agg(F.sum("cell.n").alias("n")), "llm-term-counts")
+    parts = partial_counts(docs, text_col, lang_col, source_col, held_terms).withColumn("key", F.xxhash64("lang", "term"))
+    # One shuffle: documents are summed, rare terms leave and sources are counted where a term's parts lie.
+    # The key comes first because equal languages make a sort compare whole rows.
+    own = ["key", "lang", "term"]
+    known = parts.withColumn("docs", F.sum("docs").over(Window.partitionBy(*own))).where(F.col("docs") >= min_docs)
+    cells = known.select(*own, F.explode("cells").alias("cell")).select(*own, "cell.source", "cell.n")
+    found = settle(cells.groupBy(*own, "source").agg(F.sum("n").alias("n")).drop("key"), "llm-term-counts")
     # One entry a source in a signature: as many as the result has pairs of one source.
     kept = found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("signature"))
     vocabulary = settle(ranked(kept, [F.col("signature"), F.col("term")], ["lang"]).select(
@@ -230,7 +309,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     zero = F.lit(0).cast("bigint")
     groups = settle(
-        parts.where("term IS NULL").select("lang", F.explode("cells.source").alias("source")).distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
+        docs.select(filled(lang_col).alias("lang"), filled(source_col).alias("source")).distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
         .select("lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("total", "kept", "lang_total")]), "llm-groups")
 
     values = compared(settle(columns(entries, groups, block), "llm-columns"), tile)

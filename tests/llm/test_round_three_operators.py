@@ -200,3 +200,40 @@ def test_terms_are_not_cut_at_the_steps(monkeypatch):
 def test_shares_are_exact_beyond_64_bits(spark):
     row = spark.sql("SELECT 900000000000000 AS n, 1000000000000000 AS total, 70000 AS kept").select(divergence.exact_share("n", "total", "kept").alias("p"))
     assert row.first().p == 1 + 1_000_000_000 * (900000000000000 + 5) // (1000000000000000 + 5 * 70000)
+
+
+def test_parts_hold_a_term_once_a_step(spark):
+    """Counts of a task's documents are merged, not handed on with each document that fills the limit."""
+    long = " ".join(f"w{i % 500}" for i in range(300_000))
+    rows = [(i, " ".join(f"t{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)), "en", f"s{i % 3}") for i in range(30)] + [(99, long, "en", "s9")]
+    parts = divergence.partial_counts(table(spark, rows, 1), "text", "lang", "source", held_terms=10).collect()
+    small = [p for p in parts if p.term != "w"]
+    assert len(small) == 100 and {p.docs for p in small} == {30}
+    assert {tuple(sorted(map(tuple, p.cells))) for p in small} == {(("s0", 10), ("s1", 10), ("s2", 10))}
+    assert [(p.docs, [tuple(c) for c in p.cells]) for p in parts if p.term == "w"] == [(1, [("s9", 300_000)])]
+
+
+def test_step_counts_equal_counting_each_text():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "B", "é", "日本", " ", "1", "\n", "xyz"]) for _ in range(rng.randrange(12))).encode() for _ in range(400)]
+    texts = [b"", b"skipped", b"Ab", b"ab", b"", b" ", b"12", b"ab cd", *texts, b"end", b""]
+    groups = np.array([i % 3 for i in range(len(texts))])
+    for a, b in ((0, len(texts)), (2, 300), (4, 7), (4, 4)):
+        got = divergence.step_counts(pa.array(texts, pa.binary())[a:b], groups[a:b])
+        n, docs = Counter(), Counter()
+        for text, g in zip(texts[a:b], groups[a:b].tolist()):
+            found = Counter(w for part in divergence.terms(text) for w in part)
+            n.update({(w, g): k for w, k in found.items()})
+            docs.update((w, g) for w in found)
+        rows = [] if got is None else [((got.words[int(c)].as_py(), g), k, d) for c, g, k, d in zip(got.code, got.group.tolist(), got.n.tolist(), got.docs.tolist())]
+        assert sorted(rows) == sorted((key, k, docs[key]) for key, k in n.items())
+
+
+def test_shares_do_not_change_where_decimals_begin(spark):
+    cases = [(n, total, kept) for n in (0, 1, 8_999_999_993, 8_999_999_994, 8_999_999_995, 8_999_999_996, 9_223_372_036, 9_223_372_037)
+             for total in (1, 10**10, 10**18 - 1, 10**18, 9 * 10**18) for kept in (1, 70_000, 10**12)]
+    rows = spark.createDataFrame(cases, "n LONG, total LONG, kept LONG").where("n <= total").select("*", divergence.exact_share("n", "total", "kept").alias("p")).collect()
+    assert all(r.p == 1 + 1_000_000_000 * (r.n + 5) // (r.total + 5 * r.kept) for r in rows) and len(rows) > 90
