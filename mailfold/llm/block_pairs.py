@@ -16,18 +16,21 @@ BLOCK_ROWS = 512
 
 
 def in_block_pairs(rows: DataFrame, bucket: Sequence[str], row_id: str, fn: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame],
-                   schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   schema: str, block_rows: int = BLOCK_ROWS, size: str | None = None) -> DataFrame:
     """Apply ``fn`` to the blocks of every bucket of two or more ``rows``.
 
     A bucket of n rows is dealt into ceil(n / block_rows) blocks by a hash of ``row_id``;
     ``fn(a, None)`` sees the rows of one block, ``fn(a, b)`` those of two, so that every two
     rows of a bucket meet in exactly one call and no call grows with the bucket.  Bucket
     sizes come from counts that are written first and joined back, so that a hot bucket's
-    exchange can be split.
+    exchange can be split; a caller who knows them names their column, ``size``.
     """
-    sizes = settle(rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "llm-bucket-sizes")
-    blocks = F.ceil(F.col("__n") / block_rows).cast("int")
-    placed = rows.join(sizes, list(bucket)).withColumn("__blocks", blocks)
+    if size is None:
+        sizes = settle(rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "llm-bucket-sizes")
+        counted = rows.join(sizes, list(bucket))
+    else:
+        counted = rows.withColumnRenamed(size, "__n").where("__n > 1")
+    placed = counted.withColumn("__blocks", F.ceil(F.col("__n") / block_rows).cast("int"))
     placed = placed.withColumn("__own", F.pmod(F.xxhash64(row_id, F.lit("block")), F.col("__blocks")).cast("int"))
     spread = placed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     paired = spread.withColumn("__lo", F.least("__own", "__other")).withColumn("__hi", F.greatest("__own", "__other"))
@@ -36,8 +39,10 @@ def in_block_pairs(rows: DataFrame, bucket: Sequence[str], row_id: str, fn: Call
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         lo, hi = group["__lo"].iloc[0], group["__hi"].iloc[0]
+        if lo == hi:
+            return fn(group.reset_index(drop=True), None)
         first = group[group["__own"] == lo].reset_index(drop=True)
-        return fn(first, None if lo == hi else group[group["__own"] == hi].reset_index(drop=True))
+        return fn(first, group[group["__own"] == hi].reset_index(drop=True))
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sorted rows in; most buckets are small, so many of them pass in one batch."""

@@ -12,7 +12,7 @@ by their exact probability Jaccard similarity, at least 0.8.  A pair at 0.8 shar
 Texts of equal words are one class from the start.  Every member of a band's bucket is first
 verified against the least one, so a bucket of n costs n - 1 pairs.  The few buckets whose
 members then still lie in different components are compared in blocks of bounded size,
-across components only, so no link that joins two groups is lost.  A group is a connected
+across components only, without the least member, so no link that joins two groups is lost.  A group is a connected
 component of links and is named by its least document id.
 
 Defined results: texts without words (null, empty, punctuation) are copies of each other; a
@@ -40,6 +40,8 @@ BANDS = 16
 ROWS = 5
 LEAST = 0.8
 _SLACK = 1e-12
+#: Shingles counted at a time when blocks are compared; bounds worker memory.
+COLUMNS = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,19 +127,62 @@ def _components(links: DataFrame) -> DataFrame:
     return components(links.select(node("u"), node("v"))).select("node.doc_id", "node.version", "component")
 
 
+def likeness(sets: list[tuple[np.ndarray, np.ndarray]], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity, exact) of the pairs (sets[i], sets[j]): exact where no shingle of either
+    repeats, else a bound from above, the lesser share of one's weight that the other holds.
+    Shared shingles are counted for all pairs at once, COLUMNS of them at a time.
+    """
+    left, at_left = np.unique(i, return_inverse=True)
+    right, at_right = np.unique(j, return_inverse=True)
+    sizes = np.array([len(ids) for ids, _ in sets])
+    single = np.array([len(ids) > 0 and w.max() == 1 for ids, w in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    share = np.concatenate([w / w.sum() for _, w in sets]).astype(np.float32)
+    _, column, held_by = np.unique(np.concatenate([ids for ids, _ in sets]), return_inverse=True, return_counts=True)
+    often = np.flatnonzero(held_by[column] > 1)
+    row, share, column = row[often], share[often], np.unique(column[often], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, share, column = row[order], share[order], column[order]
+    both, of_left, of_right = (np.zeros((len(left), len(right)), dtype=np.float32) for _ in range(3))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        there = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        there[row[a:b], column[a:b] - start] = 1
+        both += there[left] @ there[right].T
+        if not single.all():
+            part = np.zeros_like(there)
+            part[row[a:b], column[a:b] - start] = share[a:b]
+            of_left += part[left] @ there[right].T
+            of_right += there[left] @ part[right].T
+    shared = both[at_left, at_right].astype(np.float64)
+    bound = np.minimum(of_left, of_right)[at_left, at_right] + 1e-3  # these are sums of 32-bit shares
+    exact = single[i] & single[j]
+    empty = (sizes[i] == 0) & (sizes[j] == 0)
+    return np.where(exact, shared / np.maximum(sizes[i] + sizes[j] - shared, 1), np.where(empty, 1.0, bound)), exact
+
+
 def _across(words: int, least: float):
-    """Links between different components among the rows of one or two blocks."""
+    """Links found among the rows of one or two blocks, as pairs of the different components they join."""
     def run(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
         rows = a if b is None else pd.concat([a, b], ignore_index=True)
-        parts = rows.groupby(["component_id", "component_version"]).ngroup().to_numpy()
-        names = list(zip(rows["doc_id"].to_list(), rows["version"].to_list()))
+        whole = np.stack([rows["component_id"].to_numpy(), rows["component_version"].to_numpy()], axis=1)
+        names, parts = np.unique(whole, axis=0, return_inverse=True)
+        names, parts, found = [tuple(n) for n in names.tolist()], parts.reshape(-1), []
+        if len(names) == 1:
+            return pd.DataFrame(found, columns=["u", "version_u", "v", "version_v"], dtype="int64")
         differ = parts[: len(a), None] != parts[None, :]
         i, j = np.nonzero(np.triu(differ, 1) if b is None else differ & (np.arange(len(rows)) >= len(a)))
         bands, band = np.stack(rows["bands"].to_list()), int(rows["band"].iloc[0])
         fresh = ~(bands[i, :band] == bands[j, :band]).any(axis=1)  # not met in an earlier band
-        i, j = i[fresh].tolist(), j[fresh].tolist()
-        needed = sorted({*i, *j})
-        sets = dict(zip(needed, shingle_sets(rows["text"].iloc[needed].fillna("").to_list(), words)))
+        i, j = i[fresh], j[fresh]
+        if not len(i):
+            return pd.DataFrame(found, columns=["u", "version_u", "v", "version_v"], dtype="int64")
+        needed, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        sets = shingle_sets(rows["text"].iloc[needed].fillna("").to_list(), words)
+        i, j = place[: len(i)], place[len(i) :]
+        parts = parts[needed]
+        like, exact = likeness(sets, i, j)
+        near = np.flatnonzero(like >= least - _SLACK)
         leader = {p: p for p in parts.tolist()}
 
         def top(p):
@@ -145,12 +190,11 @@ def _across(words: int, least: float):
                 p = leader[p]
             return p
 
-        found = []
-        for x, y in zip(i, j):
+        for x, y, known in zip(i[near].tolist(), j[near].tolist(), exact[near].tolist()):
             p, q = top(int(parts[x])), top(int(parts[y]))
-            if p != q and probability_jaccard(*sets[x], *sets[y]) >= least - _SLACK:
+            if p != q and (known or probability_jaccard(*sets[x], *sets[y]) >= least - _SLACK):
                 leader[max(p, q)] = min(p, q)
-                found.append((*names[x], *names[y]))
+                found.append((*names[int(parts[x])], *names[int(parts[y])]))
         return pd.DataFrame(found, columns=["u", "version_u", "v", "version_v"], dtype="int64")
 
     return run
@@ -166,15 +210,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     spread = classes.select("doc_id", "version", F.posexplode("bands").alias("band", "key"))
     leaders = spread.groupBy("band", "key").agg(F.min(F.struct("doc_id", "version")).alias("least"), F.count(F.lit(1)).alias("n"))
-    leaders = settle(leaders.where("n > 1").select("band", "key", F.col("least.doc_id").alias("v"), F.col("least.version").alias("version_v")), "llm-leaders")
-    stars = spread.join(leaders, ["band", "key"]).where("doc_id <> v OR version <> version_v")
+    # in a struct the bucket is dealt anew, not as the minima were, so that a hot one can be split
+    bucket = F.struct("band", "key").alias("bucket")
+    leaders = leaders.where("n > 1").select(bucket, F.col("least.doc_id").alias("v"), F.col("least.version").alias("version_v"))
+    stars = spread.select("doc_id", "version", bucket).join(leaders, "bucket").where("doc_id <> v OR version <> version_v")
     stars = settle(stars.select(F.col("doc_id").alias("u"), F.col("version").alias("version_u"), "v", "version_v").distinct(), "llm-stars")
 
     # Texts move only for documents that are a candidate of some pair.  Candidates grow with the
     # input, so these joins are sort-merge joins at every size.
     needed = stars.select(F.col("u").alias("doc_id"), F.col("version_u").alias("version")).union(stars.select("v", "version_v")).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("version"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = settle(texts.join(settle(needed, "llm-needed").hint("merge"), ["doc_id", "version"], "left_semi"), "llm-candidate-texts")
+    texts = settle(texts.join(needed.hint("merge"), ["doc_id", "version"], "left_semi"), "llm-candidate-texts")
     one = lambda side: texts.select(F.col("doc_id").alias(side), F.col("version").alias(f"version_{side}"), F.col("text").alias(f"text_{side}"))
     pairs = stars.join(one("u").hint("merge"), ["u", "version_u"]).join(one("v").hint("merge"), ["v", "version_v"])
     links = settle(verified(pairs, words, least), "llm-links")
@@ -184,16 +230,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     placed = classes.join(_components(links), ["doc_id", "version"], "left")
     placed = settle(placed.withColumn("component", alone), "llm-placed")
 
-    # Buckets that still hold several components: compare across them.
+    # Buckets that still hold several components: compare across them.  The least member has
+    # met all others above, so it stays out, and with it buckets of two.
     keyed = placed.select("doc_id", "version", "component", "bands", F.posexplode("bands").alias("band", "key"))
-    mixed = keyed.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "key")
-    rest = keyed.join(settle(mixed, "llm-mixed"), ["band", "key"]).join(texts, ["doc_id", "version"])
+    mixed = keyed.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("size"),
+                                             F.min(F.struct("doc_id", "version")).alias("first"))
+    mixed = mixed.where("a <> b AND size > 2").select("band", "key", "size", "first")
+    rest = keyed.join(settle(mixed, "llm-mixed"), ["band", "key"]).where(F.col("first") != F.struct("doc_id", "version")).drop("first")
+    rest = rest.join(texts, ["doc_id", "version"])
     rest = rest.withColumns({"component_id": F.col("component.doc_id"), "component_version": F.col("component.version")}).drop("component")
-    more = settle(in_block_pairs(rest, ["band", "key"], "version", _across(words, least), _LINKS), "llm-more-links")
-    merged = _components(links.unionByName(more))
+    more = settle(in_block_pairs(rest, ["band", "key"], "version", _across(words, least), _LINKS, size="size"), "llm-more-links")
+    merged = _components(more).select(F.struct("doc_id", "version").alias("part"), F.col("component").alias("whole"))
 
-    final = classes.select("content", "doc_id", "version").join(merged, ["doc_id", "version"], "left")
-    final = settle(final.select("content", alone.alias("component")), "llm-groups")
+    final = placed.select("content", "component").join(merged, F.col("component") == F.col("part"), "left")
+    final = settle(final.select("content", F.coalesce("whole", "component").alias("component")), "llm-groups")
     own = Window.partitionBy("doc_id", "version").orderBy("content")
     out = named.select("doc_id", "version", "content").join(final, "content").withColumn("again", F.row_number().over(own))
     least_row = (F.col("doc_id") == F.col("component.doc_id")) & (F.col("version") == F.col("component.version"))

@@ -199,6 +199,53 @@ def test_links_across_components_of_one_bucket(spark):
     assert rows == plain_groups(texts)
 
 
+def test_blocks_of_one_bucket_are_compared_at_once(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(4)
+    texts, n = [], 160
+    for _ in range(10):
+        base = [f"w{rng.randrange(900)}" for _ in range(60)]
+        for k in range(n // 10):
+            copy = list(base)
+            for _ in range(k % 5):
+                copy[rng.randrange(60)] = f"x{rng.randrange(900)}"
+            texts.append(" ".join(copy))
+    pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+    i, j = np.array(pairs).T
+    mixed = texts[:40] + [" ".join([t] * (2 + k % 2)) for k, t in enumerate(texts[40:])]  # shingles that repeat
+    for some in (texts, mixed):
+        sets = probminhash.shingle_sets(some, 5)
+        like, exact = probminhash.likeness(sets, i, j)
+        for (a, b), got, known in zip(pairs, like, exact):
+            want = shingles.probability_jaccard(*sets[a], *sets[b])
+            assert got == want if known else got >= want
+
+    calls = []
+    monkeypatch.setattr(probminhash, "probability_jaccard", lambda *x: calls.append(1) or shingles.probability_jaccard(*x))
+    for some in (texts, mixed):
+        frame = pd.DataFrame({"doc_id": range(n), "version": 0, "component_id": range(n), "component_version": 0, "text": some, "band": 0})
+        frame["bands"] = [np.zeros(1, dtype=np.int64)] * n
+        for rows in ([frame], [frame[:70], frame[70:].reset_index(drop=True)]):
+            calls.clear()
+            found = probminhash._across(5, 0.8)(rows[0].copy(), *([rows[1]] if len(rows) > 1 else [None]))
+            sets = {k: plain_weights(t) for k, t in enumerate(some)}
+            links = [(a, b) for a, b in pairs if (len(rows) == 1 or a < 70 <= b) and plain_similarity(sets[a], sets[b]) >= 0.8 - 1e-9]
+            assert roots(range(n), zip(found["u"], found["v"])) == roots(range(n), links)
+            assert len(calls) == 0 if some is texts else len(calls) < len(pairs) / 4
+
+
+def test_components_write_few_tables(spark, monkeypatch):
+    from mailfold.llm import graph
+
+    written = []
+    for name in ("settle", "settle_measured"):
+        monkeypatch.setattr(graph, name, lambda *a, f=getattr(graph, name), **k: written.append(1) or f(*a, **k))
+    stars = spark.createDataFrame([(i, i % 3) for i in range(40)], "u bigint, v bigint")
+    assert {r.node: r.component for r in components(stars).collect()} == {i: i % 3 for i in range(40)}
+    assert len(written) == 2  # the links, and the step that finds them to be stars
+
+
 def test_repeated_rows_and_empty_tables(spark):
     schema = "doc_id bigint, text string"
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, "other words here"), (None, "a b c d e f")]
