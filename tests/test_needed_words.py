@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from mailfold import fixed
 from mailfold.functions import identity, requisition, roles, templates
-from mailfold.functions.text import grab, jvm, matches
+from mailfold.functions.text import WHITE, WHITE_CHARS, grab, jvm, matches
 from mailfold.session import SETTINGS
 
 TEXTS = (
@@ -80,3 +80,13 @@ def test_mail_queries_run_no_method_too_long_to_compile(spark, tmp_path):
         assert int(spark.conf.get(limit)) <= 8000
     finally:
         spark.conf.set(limit, SETTINGS[limit])
+
+
+def test_white_space_is_what_trimming_takes(spark):
+    """The class by properties holds the very characters that are listed for trimming."""
+    codes = spark.range(1, 0x10000).filter("id NOT BETWEEN 55296 AND 57343")
+    char = F.decode(F.encode(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"), "UTF-8"), "UTF-8")
+    found = codes.filter(char.rlike(f"^[{WHITE}]$")).collect()
+    assert {chr(r.id) for r in found} == set(WHITE_CHARS)
+    assert codes.filter(char.rlike(jvm(r"^\S$"))).count() == codes.count() - len(found)
+    assert len(WHITE) < len(repr(WHITE_CHARS))
